@@ -43,6 +43,24 @@ def full_month_number(name: Column) -> Column:
     return F.when(position > 0, position.cast("int"))
 
 
+def _rewrite(text: Column, rules) -> Column:
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
+def _numeric(text: Column, first: int, second: int) -> Column:
+    """Numeric spellings as yyyy-m-d with the given month and day group -> date."""
+    head, tail = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.]", r"(?:\D.*)?$"
+    day = f"${first}-${second}"
+    text = _rewrite(text, [
+        (head + r"(\d{4})" + tail, "$3-" + day),
+        (head + r"([0-6]\d)" + tail, "20$3-" + day),
+        (head + r"([7-9]\d)" + tail, "19$3-" + day),
+    ])
+    return F.regexp_extract(text, r"^\d{4}-\d{1,2}-\d{1,2}", 0).try_cast("date")
+
+
 def parse_date(raw: Column) -> Column:
     """Month-first date text in the usual spellings -> date.
 
@@ -50,30 +68,15 @@ def parse_date(raw: Column) -> Column:
     `5 Jan 2024`; day and month change places when the first is above 12.
     """
     text = F.trim(raw)
-    iso = text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}")
-    num = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})"
-    a, b, c = (_int(F.regexp_extract(text, num, i)) for i in (1, 2, 3))
-    swap = (a > 12) & (b <= 12)
-    named = rf"(?i)^({_MON})[a-z]*\.?\s*(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})"
-    dayfirst = rf"(?i)^(\d{{1,2}})\s+({_MON})[a-z]*\.?,?\s+(\d{{4}})"
+    words = _rewrite(text, [
+        (rf"(?i)^({_MON})[a-z]*\.?\s*(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})", "$1 $2 $3"),
+        (rf"(?i)^(\d{{1,2}})\s+({_MON})[a-z]*\.?,?\s+(\d{{4}})", "$2 $1 $3"),
+    ])
     return F.coalesce(
-        F.when(iso, F.regexp_extract(text, r"^\d{4}-\d{1,2}-\d{1,2}", 0)).try_cast("date"),
-        iso_date(full_year(c), F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)),
-        iso_date(
-            _int(F.regexp_extract(text, named, 3)),
-            month_number(F.regexp_extract(text, named, 1)),
-            _int(F.regexp_extract(text, named, 2)),
-        ),
-        iso_date(
-            _int(F.regexp_extract(text, dayfirst, 3)),
-            month_number(F.regexp_extract(text, dayfirst, 2)),
-            _int(F.regexp_extract(text, dayfirst, 1)),
-        ),
-        iso_date(
-            _int(F.regexp_extract(text, r"^(\d{4})(\d{2})(\d{2})$", 1)),
-            _int(F.regexp_extract(text, r"^(\d{4})(\d{2})(\d{2})$", 2)),
-            _int(F.regexp_extract(text, r"^(\d{4})(\d{2})(\d{2})$", 3)),
-        ),
+        _numeric(text, 1, 2),
+        _numeric(text, 2, 1),
+        F.try_to_date(F.initcap(words), "MMM d yyyy"),
+        F.try_to_date(text, "yyyyMMdd"),
     )
 
 

@@ -1,16 +1,34 @@
-"""Ordered "first rule wins" matching as one CASE expression."""
+"""Ordered "first rule wins" matching.
+
+Long word lists are literal arrays searched by higher-order functions, so the
+generated code stays small however long a list is.  `once` binds the searched
+text to a variable; without it a lambda would compute the text again per word.
+"""
 
 import re
 
 from pyspark.sql import Column, functions as F
 
 _META = re.compile(r"[\\.^$*+?{}\[\]|()]")
+_FEW = 3
+
+
+def _words(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def once(value: Column, fn) -> Column:
+    """`fn(value)` with `value` computed a single time."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def contains_any(text: Column, words) -> Column:
     """True where `text` contains one of `words`; plain substring search, no regex."""
-    hit = F.lit(False)
-    for word in words:
+    words = list(words)
+    if len(words) > _FEW:
+        return once(text, lambda t: F.exists(_words(words), lambda word: t.contains(word)))
+    hit = text.contains(words[0])
+    for word in words[1:]:
         hit = hit | text.contains(word)
     return hit
 
@@ -39,9 +57,16 @@ def first_rule(text: Column, rules: dict, otherwise: Column | None = None) -> Co
 
 
 def first_category(text: Column, categories: dict, otherwise: Column | None = None) -> Column:
-    """Name of the first (name -> words) entry with a word contained in `text`."""
-    case = None
-    for name, words in categories.items():
-        test = contains_any(text, words)
-        case = F.when(test, name) if case is None else case.when(test, name)
-    return case if otherwise is None else case.otherwise(otherwise)
+    """Name of the first (name -> words) entry with a word contained in `text`.
+
+    The names follow the words in list order, so the first word found decides.
+    """
+    pairs = [(word, name) for name, words in categories.items() for word in words]
+
+    def name_of(t):
+        hits = F.transform(_words(w for w, _ in pairs), lambda word: t.contains(word))
+        place = F.array_position(hits, F.lit(True)).cast("int")
+        return F.get(_words(n for _, n in pairs), place - 1)
+
+    name = once(text, name_of)
+    return name if otherwise is None else F.coalesce(name, otherwise)
