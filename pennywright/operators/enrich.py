@@ -177,3 +177,11 @@ def run_stats(raw: DataFrame, enriched: DataFrame, threshold: float = 0.0) -> Da
         F.count(F.when(F.col("_done").isNull(), 1)).alias("processed"),
         F.count("_done").alias("skipped"),
     )
+
+
+def taxonomy_size(rows: DataFrame) -> DataFrame:
+    """Subcategories and merchants in use per category."""
+    return rows.groupBy("category").agg(
+        F.countDistinct("subcategory").alias("n_subcategories"),
+        F.countDistinct("merchant_name").alias("n_merchants"),
+    )
