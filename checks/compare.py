@@ -15,6 +15,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def session(cores: int = 8):
     from pyspark.sql import SparkSession
+
+    from pennywright.session import recommended
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("checks")
         .config("spark.sql.shuffle.partitions", "8")
@@ -25,7 +27,7 @@ def session(cores: int = 8):
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return recommended(spark)
 
 
 def plain(value):

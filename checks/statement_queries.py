@@ -328,9 +328,10 @@ CARD_OUT = ["file_id", "date", "description", "amount", "transaction_type", "mer
 def one_issuer(issuer, kind):
     def run(spark, sf_dir):
         files = card_files(spark, sf_dir).filter(F.col("file_id") % 6 == kind)
-        info = st.card_issuers(files).select("file_id", "closing_month", "closing_year")
+        info = st.card_issuers(files).select("file_id", "issuer", "closing_month", "closing_year")
         section = st.card_section(text_source.to_lines(files)).join(info, "file_id")
-        return money_out(st.card_lines(section, issuer).select(*CARD_OUT))
+        rows = st.card_lines(section).filter(F.col("bank_name") == issuer)
+        return money_out(rows.select(*CARD_OUT))
     return run
 
 

@@ -38,24 +38,35 @@ over_named("f02_clean_bank", lambda label: {"cleaned": text.clean_bank(label)},
            f"{sql.clean_bank('label')} AS cleaned")
 over_named("f03_title_case", lambda label: {"title": text.title_case(F.concat(label, F.lit(" AT&T O'REILLY")))},
            sql.title("label || ' AT&T O''REILLY'") + " AS title")
-over_named("f04_line_merchant", lambda label: {"merchant": text.line_merchant(label)},
-           f"{sql.line_merchant('label')} AS merchant")
+
+
+def lined(spark, sf_dir):
+    return text.with_line_merchant(named(spark, sf_dir).select("id", "label"), "label")
+
+
+def banked(spark, sf_dir):
+    return text.with_bank_category(named(spark, sf_dir).select("id", "label"), "label").select(
+        "id", F.col("category").alias("bank_category"),
+        text.bank_confidence(F.col("category")).alias("confidence"))
+
+
+add("f04_line_merchant",
+    lambda s, d: lined(s, d).select("id", F.col("merchant_name").alias("merchant")),
+    f"WITH {NAMED} SELECT id, {sql.line_merchant('label')} AS merchant FROM named", "ledger")
 add("f05_line_category",
-    lambda s, d: named(s, d).withColumn("merchant", text.line_merchant(F.col("label"))).select(
-        "id", text.line_category(F.col("merchant"), F.col("label")).alias("line_category")),
+    lambda s, d: lined(s, d).select("id", F.col("category").alias("line_category")),
     f"WITH {NAMED}, m AS (SELECT id, label, {sql.line_merchant('label')} AS merchant FROM named) "
     "SELECT id, " + sql.contains_case("lower(merchant || ' ' || label)", fv.LINE_CATEGORIES,
                                       "'Other'") + " AS line_category FROM m", "ledger")
 BANK_CASE = sql.contains_case("upper(label)", fv.BANK_CATEGORIES, "'Uncategorized'")
-over_named("f06_bank_category",
-           lambda label: {"bank_category": text.bank_category(label),
-            "confidence": text.bank_confidence(text.bank_category(label))},
-           f"{BANK_CASE} AS bank_category, CAST(CASE WHEN ({BANK_CASE}) = 'Uncategorized' "
-           "THEN 0.3 ELSE 1.0 END AS DOUBLE) AS confidence")
-over_named("f07_method_label",
-           lambda label: {"method": text.method_label(text.bank_confidence(text.bank_category(label)))},
-           f"CASE WHEN ({BANK_CASE}) = 'Uncategorized' THEN 'fallback' ELSE 'rule_based' END "
-           "AS method")
+add("f06_bank_category", banked, f"""
+WITH {NAMED} SELECT id, {BANK_CASE} AS bank_category, CAST(CASE WHEN ({BANK_CASE}) = 'Uncategorized'
+  THEN 0.3 ELSE 1.0 END AS DOUBLE) AS confidence FROM named""", "ledger")
+add("f07_method_label",
+    lambda s, d: banked(s, d).select("id", text.method_label(F.col("confidence")).alias("method")),
+    f"""
+WITH {NAMED} SELECT id, CASE WHEN ({BANK_CASE}) = 'Uncategorized' THEN 'fallback'
+  ELSE 'rule_based' END AS method FROM named""", "ledger")
 over_named("f28_anomaly_flags",
            lambda label: {"flags": F.array_join(text.anomaly_flags(F.col("amount"), F.col("category")), ",")},
            "concat_ws(',', CASE WHEN abs(amount) > 300 THEN 'large_transaction' END, "

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 _META = re.compile(r"[\\.^$*+?{}\[\]|()]")
-_FEW = 3
+_FEW = 8
 
 
 def _words(words) -> Column:

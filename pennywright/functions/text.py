@@ -1,9 +1,9 @@
 """Text cleaning and rule functions (all JVM-side column expressions)."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pennywright.functions import fixed_values as fv
-from pennywright.functions.matching import contains_any, first_category, first_rule
+from pennywright.functions.matching import contains_any, first_category, first_rule, once
 
 _BLANKS = " \t\n\r\f\x0b"
 
@@ -36,28 +36,43 @@ def clean_bank(raw: Column) -> Column:
     text = raw
     for pattern in fv.BANK_NOISE:
         text = F.regexp_replace(text, pattern, " ")
-    text = strip(text)
-    one_case = text.rlike(r"\p{Lu}") != text.rlike(r"\p{Ll}")
-    return F.when(one_case, title_case(text)).otherwise(text)
 
+    def shown(t):
+        return F.when(t.rlike(r"\p{Lu}") != t.rlike(r"\p{Ll}"), title_case(t)).otherwise(t)
 
-def line_merchant(description: Column) -> Column:
-    """Known merchant of a statement line, else the description without codes."""
-    text = F.regexp_replace(description, r"#\d+", "")
-    text = F.regexp_replace(text, r"\s+\d{4,}", "")
-    text = F.regexp_replace(text, r"(?i)\bDBA\b.*", "")
-    text = strip(F.regexp_replace(text, r"\s{2,}", " "))
-    fallback = title_case(F.when(text != "", text).otherwise(description))
-    return first_rule(F.upper(description), fv.LINE_MERCHANTS, fallback)
+    return once(strip(text), shown)
 
 
-def line_category(merchant: Column, description: Column) -> Column:
-    text = F.lower(F.concat(merchant, F.lit(" "), description))
-    return first_category(text, fv.LINE_CATEGORIES, F.lit("Other"))
+def with_line_merchant(df: DataFrame, description: str = "description") -> DataFrame:
+    """Add merchant_name and category of statement lines.
 
+    The searched texts are columns of their own, so that the rules, which look at
+    them many times, do not compute them again.
+    """
+    text = F.col(description)
+    bare = F.regexp_replace(text, r"#\d+", "")
+    bare = F.regexp_replace(bare, r"\s+\d{4,}", "")
+    bare = F.regexp_replace(bare, r"(?i)\bDBA\b.*", "")
+    bare = strip(F.regexp_replace(bare, r"\s{2,}", " "))
+    named = df.withColumns({"_upper": F.upper(text), "_bare": bare})
+    other = title_case(F.when(F.col("_bare") != "", F.col("_bare")).otherwise(text))
+    named = named.withColumn(
+        "merchant_name", first_rule(F.col("_upper"), fv.LINE_MERCHANTS, other)
+    )
+    both = F.lower(F.concat_ws(" ", "merchant_name", description))
+    return (
+        named.withColumn("_both", both)
+        .withColumn("category", first_category(F.col("_both"), fv.LINE_CATEGORIES,
+                                               F.lit("Other")))
+        .drop("_upper", "_bare", "_both")
+    )
 
-def bank_category(description: Column) -> Column:
-    return first_category(F.upper(description), fv.BANK_CATEGORIES, F.lit("Uncategorized"))
+
+def with_bank_category(df: DataFrame, description: str = "description") -> DataFrame:
+    """Add the keyword category of a bank description."""
+    searched = df.withColumn("_upper", F.upper(description))
+    category = first_category(F.col("_upper"), fv.BANK_CATEGORIES, F.lit("Uncategorized"))
+    return searched.withColumn("category", category).drop("_upper")
 
 
 def bank_confidence(category: Column) -> Column:
@@ -92,8 +107,9 @@ def merchant_hint(raw: Column) -> Column:
         lambda word: (F.length(word) > 1)
         & ~word.rlike(r"^\d{4,}$|^\d{3}-\d{3}-\d{4}$|^[A-Z]{2}$"),
     )
-    return F.when(F.size(kept) > 0, F.array_join(F.slice(kept, 1, 3), " ")).otherwise(
-        F.substring(raw, 1, 20)
+    return once(
+        F.array_join(F.slice(kept, 1, 3), " "),
+        lambda hint: F.when(hint != "", hint).otherwise(F.substring(raw, 1, 20)),
     )
 
 
@@ -108,14 +124,12 @@ def first_word(cleaned: Column, raw: Column) -> Column:
 def location(raw: Column, places=tuple(fv.PLACE_NAMES)) -> Column:
     """Up to two place names: a known city and a trailing state code."""
     text = F.upper(raw)
-    city = F.regexp_extract(text, r"\b(" + "|".join(places) + r")\b", 1)
-    state = F.regexp_extract(text, r"\b(" + "|".join(fv.US_STATES) + r")$", 1)
-    found = F.concat_ws(
-        ", ",
-        F.when(city != "", F.initcap(city)),
-        F.when(state != "", state),
-    )
-    return F.when(found != "", found)
+    city = F.when(contains_any(text, places), F.initcap(
+        F.regexp_extract(text, r"\b(" + "|".join(places) + r")\b", 1)))
+    code = F.right(text, F.lit(2))
+    state = F.when(code.isin(fv.US_STATES) & ~F.substring(text, -3, 1).rlike(r"\w"), code)
+    found = F.array_join(F.filter(F.array(city, state), lambda part: part != ""), ", ")
+    return once(found, lambda t: F.when(t != "", t))
 
 
 def is_header_line(line: Column) -> Column:

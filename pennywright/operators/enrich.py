@@ -135,11 +135,11 @@ def enrich_card(raw: DataFrame, aliases=None, taxonomy=None, threshold: float =
 
 def enrich_bank(raw: DataFrame) -> DataFrame:
     """Raw bank rows -> enriched rows keyed by raw_id; one map-only pass."""
-    rows = raw.withColumns({
+    rows = text.with_bank_category(raw.withColumns({
         "description": F.coalesce("description", F.lit("")),
         "amount": F.coalesce("amount", zero()),
         "transaction_type": F.coalesce("transaction_type", F.lit("UNKNOWN")),
-    }).withColumn("category", text.bank_category(F.col("description")))
+    }))
     confidence = text.bank_confidence(F.col("category"))
     return rows.select(
         F.col("id").alias("raw_id"), "statement_id", "bank_name", "account_type", "date",

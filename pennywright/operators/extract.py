@@ -7,9 +7,7 @@ from pennywright.functions.dates import parse_date
 from pennywright.functions.money import (
     line_type, parse_amount, python_float_text, row_type,
 )
-from pennywright.functions.text import (
-    is_header_line, line_category, line_merchant, squeeze, strip,
-)
+from pennywright.functions.text import is_header_line, squeeze, strip, with_line_merchant
 
 
 def line_fields(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -45,12 +43,9 @@ def line_transactions(lines: DataFrame, line: str = "line") -> DataFrame:
         "confidence_score": F.round(
             F.lit(0.4) + 0.4 + F.when(F.length("description") > 3, 0.2).otherwise(0.0), 2
         ),
-        "merchant_name": line_merchant(F.col("description")),
+        "raw_text": F.col(line),
     })
-    done = typed.withColumn(
-        "category", line_category(F.col("merchant_name"), F.col("description"))
-    ).withColumn("raw_text", F.col(line))
-    return done.filter(F.col("parsed_date").isNotNull())
+    return with_line_merchant(typed).filter(F.col("parsed_date").isNotNull())
 
 
 def structured_transactions(rows: DataFrame) -> DataFrame:
@@ -63,6 +58,4 @@ def structured_transactions(rows: DataFrame) -> DataFrame:
         "balance": parse_amount(F.col("balance")),
         "confidence_score": F.lit(1.0),
     }).filter(F.col("date").isNotNull() & F.col("amount").isNotNull())
-    return typed.withColumn("merchant_name", line_merchant(F.col("description"))).withColumn(
-        "category", line_category(F.col("merchant_name"), F.col("description"))
-    )
+    return with_line_merchant(typed)

@@ -15,7 +15,7 @@ from pennywright.functions.dates import (
 )
 from pennywright.functions.matching import contains_any, matches_any
 from pennywright.functions.money import MONEY, loan_interest, signed_type
-from pennywright.functions.text import card_issuer, line_category, line_merchant, strip
+from pennywright.functions.text import card_issuer, strip, with_line_merchant
 from pennywright.operators.extract import line_transactions
 from pennywright.operators.windows import carry_forward
 from pennywright.sources.statement_text import is_noise
@@ -102,8 +102,8 @@ def dcu_sections(lines: DataFrame) -> DataFrame:
     return marked.filter(inside).drop("_mark")
 
 
-def card_section(lines: DataFrame, holder_names=()) -> DataFrame:
-    """Lines inside the transactions section of a card statement, without noise."""
+def mark_section(lines: DataFrame, holder_names=()) -> DataFrame:
+    """Add `inside`: the line belongs to the transactions section and is not noise."""
     line = F.col("line")
     end = matches_any(line, fv.SECTION_END, ignore_case=True)
     mark = F.when(end, "end").when(matches_any(line, fv.SECTION_START, ignore_case=True), "start")
@@ -111,8 +111,14 @@ def card_section(lines: DataFrame, holder_names=()) -> DataFrame:
                           {"_state": F.col("_mark")}, before=True)
     undated = ~line.rlike(r"^\d{2}/\d{2}") & ~line.rlike(r"^[A-Z][a-z]{2}\s+\d")
     bleed = undated & (line.rlike(r"^\d{1,4}$") | line.rlike("(?i)" + fv.REWARD_BLEED))
-    keep = (F.col("_state") == "start") & ~F.coalesce(F.col("_mark") == "end", F.lit(False))
-    return state.filter(keep & ~is_noise(line, holder_names) & ~bleed).drop("_mark", "_state")
+    keep = F.col("_state").eqNullSafe("start") & ~F.col("_mark").eqNullSafe("end")
+    inside = keep & ~is_noise(line, holder_names) & ~bleed
+    return state.withColumn("inside", inside).drop("_mark", "_state")
+
+
+def card_section(lines: DataFrame, holder_names=()) -> DataFrame:
+    """Lines inside the transactions section of a card statement, without noise."""
+    return mark_section(lines, holder_names).filter("inside").drop("inside")
 
 
 # --------------------------------------------------------------- continuation
@@ -364,43 +370,46 @@ def card_issuers(files: DataFrame) -> DataFrame:
     )
 
 
-def card_lines(section: DataFrame, issuer: str) -> DataFrame:
-    """Transactions of one issuer's section lines.
+def _by_issuer(fn) -> Column:
+    """CASE over the issuer column: fn(pattern, credit pattern, confidence, issuer)."""
+    case = None
+    for issuer, rule in _CARD_LINES.items():
+        test, value = F.col("issuer") == issuer, fn(*rule, issuer)
+        case = F.when(test, value) if case is None else case.when(test, value)
+    return case
 
-    `section` has file_id, line_no, line, closing_month and closing_year.
+
+def card_lines(section: DataFrame) -> DataFrame:
+    """Transactions of section lines of the known issuers, all in one pass.
+
+    `section` has file_id, line_no, line, issuer, closing_month and closing_year.
     """
-    pattern, credit, confidence = _CARD_LINES[issuer]
     line = F.col("line")
-    found = section.filter(line.rlike(pattern)).select(
-        "file_id", "line_no", "closing_month", "closing_year", line.alias("raw_text"),
-        F.regexp_extract(line, pattern, 1).alias("_date"),
-        strip(F.regexp_extract(line, pattern, 2)).alias("description"),
-        F.regexp_extract(line, pattern, 3).alias("_amount"),
+    found = section.filter(_by_issuer(lambda p, *_: line.rlike(p))).select(
+        "file_id", "line_no", "issuer", "closing_month", "closing_year", line.alias("raw_text"),
+        _by_issuer(lambda p, *_: F.regexp_extract(line, p, 1)).alias("_date"),
+        strip(_by_issuer(lambda p, *_: F.regexp_extract(line, p, 2))).alias("description"),
+        _by_issuer(lambda p, *_: F.regexp_extract(line, p, 3)).alias("_amount"),
     )
-    if issuer == "citi":
-        found = found.filter((F.col("description") != "")
-                             & ~F.col("description").rlike(_CITI_HEADER))
+    header = (F.col("description") == "") | F.col("description").rlike(_CITI_HEADER)
+    found = found.filter((F.col("issuer") != "citi") | ~header)
     day = F.col("_date")
-    if issuer == "capital_one":
-        month = month_number(day)
-        day_no = F.regexp_extract(day, r"(\d{1,2})$", 1).try_cast("int")
-    else:
-        month = F.substring(day, 1, 2).try_cast("int")
-        day_no = F.substring(day, 4, 2).try_cast("int")
-    year = year_for_month(month, F.col("closing_month"), F.col("closing_year"))
-    rows = found.select(
-        "file_id", "line_no", F.lit(issuer).alias("bank_name"),
-        iso_date(year, month, day_no).alias("date"), "description",
+    named = F.col("issuer") == "capital_one"
+    month = F.when(named, month_number(day)).otherwise(F.substring(day, 1, 2).try_cast("int"))
+    day_no = F.when(named, F.regexp_extract(day, r"(\d{1,2})$", 1)).otherwise(
+        F.substring(day, 4, 2)).try_cast("int")
+    dated = found.withColumns({"_month": month, "_day": day_no})
+    year = year_for_month(F.col("_month"), F.col("closing_month"), F.col("closing_year"))
+    rows = dated.select(
+        "file_id", "line_no", F.col("issuer").alias("bank_name"),
+        iso_date(year, F.col("_month"), F.col("_day")).alias("date"), "description",
         _money(F.regexp_replace("_amount", r"[-$\s]", "")).alias("amount"),
-        F.when(F.col("_amount").rlike(credit), "CREDIT").otherwise("DEBIT")
-        .alias("transaction_type"),
-        line_merchant(F.col("description")).alias("merchant_name"),
+        F.when(_by_issuer(lambda p, credit, *_: F.col("_amount").rlike(credit)), "CREDIT")
+        .otherwise("DEBIT").alias("transaction_type"),
         F.lit(None).cast(MONEY).alias("balance"), "raw_text",
-        F.lit(confidence).alias("confidence_score"),
+        _by_issuer(lambda p, c, confidence, i: F.lit(confidence)).alias("confidence_score"),
     )
-    return rows.withColumn(
-        "category", line_category(F.col("merchant_name"), F.col("description"))
-    ).select(*CARD_ROW)
+    return with_line_merchant(rows).select(*CARD_ROW)
 
 
 def card_statements(files: DataFrame, lines: DataFrame, holder_names=()) -> DataFrame:
@@ -409,23 +418,20 @@ def card_statements(files: DataFrame, lines: DataFrame, holder_names=()) -> Data
     The four known issuers read only their transactions section (none without
     one).  Other files read the section if it has lines, else the whole text.
     """
-    info = card_issuers(files).select("file_id", "issuer", "closing_month", "closing_year")
-    section = card_section(lines, holder_names).join(info, "file_id")
-    known = [card_lines(section.filter(F.col("issuer") == i), i) for i in fv.CARD_FORMATS]
-    others = info.filter(~F.col("issuer").isin(*fv.CARD_FORMATS)).select("file_id", "issuer")
-    filled = section.select("file_id").distinct()
-    whole = lines.join(others.join(filled, "file_id", "left_anti"), "file_id")
-    inside = section.filter(~F.col("issuer").isin(*fv.CARD_FORMATS)).select(*whole.columns)
-    generic = line_transactions(inside.unionByName(whole)).select(
+    marked = mark_section(lines, holder_names)
+    filled = marked.filter("inside").select("file_id").distinct().withColumn("_filled", F.lit(True))
+    info = card_issuers(files).select("file_id", "issuer", "closing_month", "closing_year").join(
+        filled, "file_id", "left")
+    known = F.col("issuer").isin(*fv.CARD_FORMATS)
+    wanted = F.col("inside") | (~known & F.col("_filled").isNull())
+    chosen = marked.join(info, "file_id").filter(wanted)
+    generic = line_transactions(chosen.filter(~known)).select(
         "file_id", "line_no", F.col("issuer").alias("bank_name"),
         F.col("parsed_date").alias("date"), "description", "amount", "transaction_type",
         "merchant_name", "category", F.lit(None).cast(MONEY).alias("balance"), "raw_text",
         "confidence_score",
     )
-    rows = generic.select(*CARD_ROW)
-    for part in known:
-        rows = rows.unionByName(part)
-    return rows
+    return generic.select(*CARD_ROW).unionByName(card_lines(chosen.filter(known)))
 
 
 # --------------------------------------------------------------- all bank files

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pennywright.functions import fixed_values as fv
 from pennywright.functions.dates import parse_date
 from pennywright.functions.money import MONEY, csv_amount, parse_amount
-from pennywright.functions.text import line_category, line_merchant, strip
+from pennywright.functions.text import strip, with_line_merchant
 from pennywright.sources.statement_text import BREAK, decoded
 
 
@@ -76,14 +76,12 @@ def normalised(df: DataFrame, keep=()) -> DataFrame:
         "description": strip(F.coalesce("description", F.lit(""))),
     })
     rows = rows.filter(F.col("_date").isNotNull() & F.col("_a.amount").isNotNull())
-    rows = rows.withColumn("merchant_name", line_merchant(F.col("description")))
-    return rows.select(
+    return with_line_merchant(rows).select(
         *keep,
         F.col("_date").alias("date"), "description",
         F.abs("_a.amount").cast(MONEY).alias("amount"),
         F.col("_a.transaction_type").alias("transaction_type"),
-        "merchant_name",
-        line_category(F.col("merchant_name"), F.col("description")).alias("category"),
+        "merchant_name", "category",
         parse_amount(strip(F.col("balance")), csv=True).alias("balance"),
         F.lit(1.0).alias("confidence_score"),
     )
