@@ -435,12 +435,12 @@ def card_statements(files: DataFrame, lines: DataFrame, holder_names=()) -> Data
 
 
 # --------------------------------------------------------------- all bank files
-def bank_rows(lines_by_format: dict[str, DataFrame]) -> DataFrame:
+def bank_rows(lines_by_format: dict[str, DataFrame], sections: DataFrame = None) -> DataFrame:
     """Bank transactions of all formats; savings and checking of a file together."""
     parts = []
     if "dcu" in lines_by_format:
         lines = lines_by_format["dcu"]
-        sections = dcu_sections(lines)
+        sections = dcu_sections(lines) if sections is None else sections
         parts += [dcu_savings(lines, sections), dcu_checking(lines, sections)]
     if "boa" in lines_by_format:
         parts.append(boa(lines_by_format["boa"]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pennywright.operators import statements as st, tables
 from pennywright.sources import statement_text
+from pennywright.sources.scratch import written
 
 
 @dataclass
@@ -16,11 +17,19 @@ class Ingested:
 
 
 def ingest_lines(lines: DataFrame, fmt: str, files: DataFrame = None) -> Ingested:
-    """Parse the lines of one format; `files` has one row per file_id."""
+    """Parse the lines of one format; `files` has one row per file_id.
+
+    Sections and rows are tables in the shared folder: they are read several
+    times, and a lost executor must not mean parsing the text again.
+    """
     if files is None:
         files = lines.select("file_id").distinct()
-    rows = st.bank_rows({fmt: lines})
-    loans = st.dcu_loan(lines) if fmt == "dcu" else None
+    if fmt == "dcu":
+        sections = written(st.dcu_sections(lines))
+        loans = written(st.dcu_loan(lines, sections))
+        rows = written(st.bank_rows({fmt: lines}, sections))
+    else:
+        loans, rows = None, written(st.bank_rows({fmt: lines}))
     meta = st.statement_metadata(files.drop("bank_name"), lines, rows, fmt, loans)
     return Ingested(meta, rows, loans)
 
@@ -30,24 +39,27 @@ def ingest_files(files: DataFrame, registry: DataFrame) -> Ingested:
 
     `files` has original_path, filename, content and file_hash; `registry` has id
     and file_hash of what was imported before.  Copies are dropped before any
-    text is split into lines.
+    text is split into lines; each file's text is read once after that.
     """
-    fresh = tables.new_statements(registry, files.drop("content")).withColumnRenamed(
-        "id", "file_id")
+    fresh = written(tables.new_statements(registry, files.drop("content"))
+                    .withColumnRenamed("id", "file_id"))
     texts = files.select("original_path", "content").join(
-        fresh.select("original_path", "file_id", "filename", "file_hash"), "original_path")
-    marked = statement_text.with_format(texts)
+        fresh.select("original_path", "file_id", "filename"), "original_path")
+    lines = written(statement_text.to_lines(
+        statement_text.with_format(texts), ["file_id", "bank_fmt"]))
+    formats = lines.select("file_id", "bank_fmt").distinct().join(fresh, "file_id")
     parts = []
     for fmt in ("dcu", "boa", "chase"):
-        chosen = marked.filter(F.col("bank_fmt") == fmt)
-        about = chosen.select("file_id", "filename", "original_path", "file_hash")
-        parts.append(ingest_lines(statement_text.to_lines(chosen), fmt, about))
+        about = formats.filter(F.col("bank_fmt") == fmt).select(
+            "file_id", "filename", "original_path", "file_hash")
+        chosen = lines.filter(F.col("bank_fmt") == fmt).drop("bank_fmt")
+        parts.append(ingest_lines(chosen, fmt, about))
     statements, rows = parts[0].statements, parts[0].bank_rows
     for part in parts[1:]:
         statements = statements.unionByName(part.statements)
         rows = rows.unionByName(part.bank_rows)
     return Ingested(
-        statements.withColumnRenamed("file_id", "id"),
+        written(statements.withColumnRenamed("file_id", "id")),
         rows.withColumnRenamed("file_id", "statement_id"),
         parts[0].loan_rows.withColumnRenamed("file_id", "statement_id"),
     )
