@@ -135,17 +135,17 @@ def open_rows(lines: DataFrame, kind: Column, keys, separator: str) -> DataFrame
         F.col("_kind") == "stop", F.lit(-1).cast("long")
     )
     owned = carry_forward(kinds, keys, "line_no", {"_owner": owner}).filter("_owner >= 0")
-    opened = owned.filter("_kind = 'open'").drop("_kind", "_owner")
-    tails = (
-        owned.filter("_kind = 'cont'")
-        .groupBy(*keys, F.col("_owner").alias("line_no"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("n"), "line")))
-             .alias("_tail"))
-        .select(*keys, "line_no",
-                F.array_join(F.transform("_tail", lambda t: t["line"]), separator)
-                .alias("continued"))
+    own = [c for c in lines.columns if c not in keys]
+    tail = F.struct(F.col("line_no").alias("n"), "line")
+    rows = owned.groupBy(*keys, "_owner").agg(
+        F.max(F.when(F.col("_kind") == "open", F.struct(*own))).alias("_row"),
+        F.array_sort(F.collect_list(F.when(F.col("_kind") == "cont", tail))).alias("_tail"),
+    )
+    joined = F.array_join(F.transform("_tail", lambda t: t["line"]), separator)
+    return rows.select(
+        *keys, *[F.col(f"_row.{c}").alias(c) for c in own],
+        F.when(F.size("_tail") > 0, joined).alias("continued"),
     )
-    return opened.join(tails, keys + ["line_no"], "left")
 
 
 def _joined(description: Column) -> Column:

@@ -10,20 +10,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BLOCK = 1_000_000
 
 
-def _block(order: str, width: int) -> Column:
-    return F.expr(f"`{order}` div {width}L")
+def _cut(df: DataFrame, keys, order: str, width: int) -> DataFrame:
+    """Rows with their block, shuffled by key and block.
+
+    Leaving out null keys here, as the joins below would, keeps both uses of the
+    exchange alike, so that Spark runs it once.
+    """
+    cut = df.withColumn("_block", F.expr(f"`{order}` div {width}L"))
+    return cut.dropna(subset=[*keys, order, "_block"]).repartition(*keys, "_block")
 
 
 def number_within(df: DataFrame, keys, order: str, name: str = "ordinal",
                   width: int = BLOCK) -> DataFrame:
     """Number rows 1, 2, 3 ... within `keys` by a unique whole-number `order`.
 
-    Keys are not null.  Blocks and keys shuffle once; the join with the small
-    offsets reuses that partitioning.
+    Keys are not null.  Rows shuffle once, by key and block: numbering, counting
+    and the join with the small offsets all use that one exchange.
     """
     keys = list(keys)
-    cut = df.withColumn("_block", _block(order, width))
-    sizes = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    cut = _cut(df, keys, order, width)
+    sizes = cut.groupBy(*keys, "_block").agg(F.count(order).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -43,20 +49,19 @@ def carry_forward(df: DataFrame, keys, order: str, marks: dict[str, Column],
 
     With `before`, the row's own value does not count.  `order` is a unique
     whole number within the group; keys are not null.
+
+    Rows shuffle once, by key and block.  The block summary takes the last
+    marked row as a whole, so that it reads the same columns and Spark reuses
+    the exchange instead of computing the input again.
     """
     keys = list(keys)
     names = list(marks)
-    cut = df.withColumns({f"_m_{n}": c for n, c in marks.items()}).withColumn(
-        "_block", _block(order, width)
-    )
-    last_of_block = [
-        F.max_by(
-            F.when(F.col(f"_m_{n}").isNotNull(), F.col(f"_m_{n}")),
-            F.when(F.col(f"_m_{n}").isNotNull(), F.col(order)),
-        ).alias(f"_b_{n}")
+    cut = _cut(df.withColumns({f"_m_{n}": c for n, c in marks.items()}), keys, order, width)
+    whole = F.struct(*cut.columns)
+    blocks = cut.groupBy(*keys, "_block").agg(*[
+        F.max_by(whole, F.when(F.col(f"_m_{n}").isNotNull(), F.col(order))).alias(f"_b_{n}")
         for n in names
-    ]
-    blocks = cut.groupBy(*keys, "_block").agg(*last_of_block)
+    ]).select(*keys, "_block", *[F.col(f"_b_{n}._m_{n}").alias(f"_b_{n}") for n in names])
     above = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
