@@ -1,8 +1,8 @@
 """Time headline queries; prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose the
-data and the cores.  Each query runs once untimed and then three times; the best
-of the three counts.
+data and the cores.  Each query runs once untimed and then twice; the best
+of the two counts.
 """
 
 import json
@@ -46,7 +46,7 @@ def main() -> None:
     seconds = {}
     for name in names:
         best = None
-        for attempt in range(4):
+        for attempt in range(3):
             start = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - start
