@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pennywright.llm.shared import SPACE_CHARS, words_of
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 SAMPLE_ROWS = 2000  # rows on which work and rejection are estimated
 PREFIX = "__qr_"  # of working columns
 
@@ -36,22 +36,23 @@ STEPS: dict[str, list[dict[str, Column]]] = {}
 def _fill_steps() -> None:
     text, words, lines = _c("text"), _c("words"), _c("lines")
     STEPS["n_symbols"] = [{
-        "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
+        "n_symbols": F.size(F.split(text, SYMBOLS)) - 1,
     }]
     STEPS["word_chars"] = [{
-        "word_chars": F.length(F.translate(text, SPACE_CHARS, "")),
+        "word_chars": F.length(F.array_join(words, "")),
     }]
     STEPS["words"] = [{"words": words_of(text)}]
     STEPS["n_words"] = [{"n_words": F.size(words)}]
     STEPS["lines"] = [{
-        "lines": F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != ""),
+        "lines": F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(SPACE_CHARS)) != ""),
     }]
     STEPS["n_lines"] = [{"n_lines": F.size(lines)}]
     STEPS["n_dup_lines"] = [{"n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines))}]
-    triples, ranked = _c("triples"), _c("ranked")
-    triple = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
+    hashes, triples, ranked = _c("hashes"), _c("triples"), _c("ranked")
+    triple = F.slice(
+        F.transform(
+            hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2))),
+        1, F.greatest(F.size(hashes) - 2, F.lit(0)),
     )
     again = F.filter(ranked, lambda e, i: (
         F.coalesce(e["h"] == F.get(ranked, i - 1)["h"], F.lit(False))
@@ -67,7 +68,8 @@ def _fill_steps() -> None:
         lambda acc: acc["n"],
     )
     STEPS["n_repeat_words"] = [
-        {"triples": F.when(F.size(words) >= 3, triple)},
+        {"hashes": F.transform(words, lambda w: F.xxhash64(w))},
+        {"triples": triple},
         {"ranked": F.when(
             F.size(F.array_distinct(triples)) < F.size(triples),
             F.sort_array(F.transform(
@@ -79,7 +81,7 @@ def _fill_steps() -> None:
 
 #: Statistics that another one is made from, in order.
 NEEDS = {
-    "n_words": ["words"], "n_repeat_words": ["words"],
+    "n_words": ["words"], "n_repeat_words": ["words"], "word_chars": ["words"],
     "n_lines": ["lines"], "n_dup_lines": ["lines"],
 }
 

@@ -32,7 +32,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Words of a text in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
+        F.split(trimmed, SPACE))
 
 
 def lower_ascii(text: Column) -> Column:
