@@ -1,6 +1,6 @@
 """One query per operator over its whole table, with DuckDB SQL where there is some."""
 
-from pennywright.llm import quality_rules, sql
+from pennywright.llm import mixing, packing, quality_rules, sql, winnowing
 from pennywright.llm.shared import table
 
 QUERIES: dict = {}
@@ -19,3 +19,21 @@ def query(name: str, oracle: str | None = None):
 @query("op2_quality_rules", sql.QUALITY_RULES)
 def op2(spark, sf_dir):
     return quality_rules.measure(table(spark, sf_dir, "documents"))
+
+
+@query("op10_mixing", sql.MIXING)
+def op10(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op8_packing")
+def op8(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False)
+
+
+@query("op9_fingerprints")
+def op9(spark, sf_dir):
+    return winnowing.compare_edited(table(spark, sf_dir, "documents"))

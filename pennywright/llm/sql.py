@@ -34,3 +34,62 @@ qjudged AS (
 QUALITY_RULES = "WITH " + QUALITY_STATS.format(docs="documents") + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept
 FROM qjudged"""
+
+
+def mixing(docs: str, fraction: tuple[int, int], epochs: int, seed: str) -> str:
+    """CTEs that end in mtaken: rows of a relation (doc_id, text, lang, source, ...) by epoch.
+
+    Written for tables with at least one row per leaf; budgets follow the same whole-number rule.
+    """
+    def level(name, path, parent):
+        keys = ", ".join(path)
+        up = " AND ".join(f"k.{c} IS NOT DISTINCT FROM u.{c}" for c in parent)
+        budget = (f"JOIN m{parent[-1]} u ON {up}" if parent else
+                  f", (SELECT least((sum(tokens) * {fraction[0]}) // {fraction[1]}, "
+                  f"sum(tokens) * {epochs}) AS got FROM mleaf) u")
+        by = f"PARTITION BY {', '.join(f'{c}' for c in parent)}" if parent else ""
+        weight = "CASE WHEN lang = 'en' THEN 3 ELSE 2 END" if name == "lang" else "1"
+        cols = ", ".join(f"k.{c}" for c in path)
+        return f"""
+m{name}0 AS (
+  SELECT {cols}, k.tokens, k.tokens * {epochs} AS cap, {weight.replace('lang', 'k.lang')} AS w,
+         u.got AS budget
+  FROM (SELECT {keys}, sum(n_tokens) AS tokens FROM mrows GROUP BY {keys}) k {budget}),
+m{name}1 AS (
+  SELECT *, budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS rest,
+         sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opened,
+         row_number() OVER o AS rn
+  FROM m{name}0 WINDOW o AS ({by} ORDER BY cap / w, {keys})),
+m{name}2 AS (
+  SELECT *, min(CASE WHEN cap * opened > rest * w THEN rn END) OVER ({by}) AS first_open
+  FROM m{name}1),
+m{name} AS (
+  SELECT *, CASE WHEN first_open IS NULL OR rn < first_open THEN cap
+    ELSE (max(CASE WHEN rn = first_open THEN rest END) OVER ({by}) * w)
+         // max(CASE WHEN rn = first_open THEN opened END) OVER ({by}) END AS got
+  FROM m{name}2),"""
+    return f"""
+mrows AS (
+  SELECT *, coalesce('domain' || (CAST(nullif(regexp_extract(coalesce(source, ''),
+           '([0-9]{{1,9}})$', 1), '') AS BIGINT) % 4), 'other') AS domain,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+                         lambda x: x <> ''))::BIGINT AS n_tokens
+  FROM {docs}),
+mleaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM mrows GROUP BY ALL),
+{level('domain', ['domain'], [])}{level('lang', ['domain', 'lang'], ['domain'])}{
+    level('source', ['domain', 'lang', 'source'], ['domain', 'lang'])}
+mepochs AS (
+  SELECT r.*, e AS epoch, md5('{seed}:' || e || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mh
+  FROM mrows r, (SELECT unnest(range(1, {epochs + 1})) AS e)),
+mtaken AS (
+  SELECT * FROM (
+    SELECT m.*, least(s.got - (epoch - 1) * s.tokens, s.tokens) AS room,
+           sum(n_tokens) OVER (PARTITION BY m.domain, m.lang, m.source, epoch ORDER BY mh) AS used
+    FROM mepochs m JOIN msource s ON m.domain = s.domain AND m.lang IS NOT DISTINCT FROM s.lang
+         AND m.source IS NOT DISTINCT FROM s.source)
+  WHERE room > 0 AND used <= room)"""
+
+
+MIXING = "WITH " + mixing("documents", (1, 2), 2, "mix-1") + """
+SELECT doc_id, domain, lang, source, n_tokens, epoch::INT AS epoch FROM mtaken"""
