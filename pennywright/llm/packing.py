@@ -5,11 +5,13 @@ cut, into full pieces and one shorter last piece.  Pieces are interchangeable by
 the packing is planned on the histogram of lengths, which has at most `capacity` entries
 whatever the corpus:
 
-1. the configuration linear program (cover each length's count by patterns of total length
-   at most `capacity`, with the fewest patterns) is solved by multiplicative weights; each
-   round prices a pattern by dynamic programming over an unbounded knapsack;
-2. the fractional use of each pattern is rounded down, as far as pieces are left;
-3. what is left is placed by best fit, longest first, in groups of like sequences.
+1. lengths are grouped into classes; the configuration linear program (cover each class's
+   count by patterns of total length at most `capacity`, with the fewest patterns) is solved
+   by multiplicative weights; each round prices a pattern by dynamic programming over an
+   unbounded knapsack;
+2. the fractional use of each pattern is rounded down, and its slots take real pieces;
+3. what is left is placed by best fit, longest first, into the room of those sequences and
+   new ones, in groups of like sequences.
 
 The plan is a list of slots (length, from rank, to rank, first sequence, ...).  Pieces get a
 rank within their length and join the slots; nothing else passes the driver.
@@ -23,6 +25,7 @@ packed each; a null doc_id is carried along; an empty table gives no rows; other
 left out.  The tokenizer's special strings inside a text are ordinary text.
 """
 
+import re
 import zlib
 
 import numpy as np
@@ -34,9 +37,13 @@ from pennywright.llm.shared import written
 CAPACITY = 4096
 END_ID = 1
 SLICES = 4096
-ROUNDS = 300  # of multiplicative weights
+CLASSES = 64  # of lengths, in the linear program
+ROUNDS = 250  # of multiplicative weights
+STEP, RATE = 0.25, 4.0  # share of a demand that a round covers at most; fall of the weights
+SCALES = (1.0, 0.9, 0.7, 0.4, 0.0)  # of the fractional uses before rounding down
 CACHE_WORDS = 200_000  # encoded words kept by a Python worker
-CACHE_CHARS = 48  # longer words are encoded each time
+#: Characters that str.split() parts at and the tokenizer doesn't.
+_ODD = re.compile("[\x1c-\x1f]")
 
 
 class WordEncoder:
@@ -53,29 +60,28 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, "<u4").tobytes()
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
-    def __call__(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # separators to str.split() only
-            return self._ids(text)
-        words = text.split()
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; an Arrow batch at a time, so that new words are encoded together."""
         known = self.known
-        for word in set(words).difference(known):
-            if len(known) >= CACHE_WORDS:
-                known.clear()
-                return b"".join([self._remember(w) for w in words])
-            self._remember(word)
-        return b"".join([known[w] if w in known else self._ids(w) for w in words])
-
-    def _remember(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            found = self._ids(word)
-            if len(word) <= CACHE_CHARS and len(self.known) < CACHE_WORDS:
-                self.known[word] = found
-        return found
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        split = [None if _ODD.search(t) else t.split() for t in texts]
+        fresh: set[str] = set()
+        for words in split:
+            if words:
+                fresh.update(words)
+        fresh.difference_update(known)
+        fresh = list(fresh)
+        known.update(zip(fresh, self._encode(fresh)))
+        out = [words and b"".join([known[w] for w in words]) or b"" for words in split]
+        whole = [i for i, words in enumerate(split) if words is None]
+        for i, data in zip(whole, self._encode([texts[i] for i in whole])):
+            out[i] = data
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
@@ -88,8 +94,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         encode = WordEncoder(tokenizer_path)
         for batch in batches:
             rows, columns = [], [[] for _ in range(5)]
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                data = encode(text or "") + end
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for i, data in enumerate(encode(texts)):
+                data += end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at: at + 4 * capacity]
                     rows.append(i)
@@ -133,46 +140,92 @@ def best_pattern(values: np.ndarray, capacity: int) -> dict[int, int]:
     return pattern
 
 
-def fractional_cover(counts: np.ndarray, capacity: int, rounds: int = ROUNDS):
-    """Patterns with their fractional use, by multiplicative weights on the covering program.
+def classes_of(counts: np.ndarray, most: int = CLASSES) -> list[list[tuple[int, int]]]:
+    """Lengths in runs (length, count), longest first, cut into classes of about equal total."""
+    lengths = np.flatnonzero(counts)[::-1]
+    total = int((lengths * counts[lengths]).sum())
+    out, used = [], 0
+    for x in lengths:
+        if not out or (used * most >= total * len(out) and len(out) < most):
+            out.append([])
+        out[-1].append((int(x), int(counts[x])))
+        used += int(x) * int(counts[x])
+    return out
 
-    A length's price falls with the share of its count that is covered.  A round uses its
-    pattern as far as its scarcest length allows, damped, and the use is scaled at the end so
-    that the least covered length is covered once.
+
+def fractional_cover(sizes, demands, capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
+    """Patterns of classes with their fractional use: the configuration linear program.
+
+    A class counts with the size of its longest piece.  Its price is its weight over its
+    demand; a weight falls exponentially with the share of the demand that is covered.  A round
+    prices a pattern and uses it as far as covers STEP of the demand of its scarcest class.
+    At the end all uses are scaled so that the least covered class is covered once.
     """
-    lengths = np.flatnonzero(counts)
-    covered = np.zeros(capacity + 1)
+    at = {size: g for g, size in enumerate(sizes)}
+    demands = np.asarray(demands, float)
+    share = np.zeros(len(sizes))
     use: dict[tuple, float] = {}
-    step, rate = 0.25, 12.0
     for _ in range(rounds):
         prices = np.zeros(capacity + 1)
-        share = covered[lengths] / counts[lengths]
-        # the length itself is what a piece costs in any full sequence
-        prices[lengths] = lengths * np.exp(-rate * (share - share.min()))
-        pattern = best_pattern(prices, capacity)
-        amount = step * min(counts[x] / n for x, n in pattern.items())
-        key = tuple(sorted(pattern.items(), reverse=True))
+        prices[sizes] = np.exp(-RATE * (share - share.min())) / demands
+        pattern = [(at[x], n) for x, n in best_pattern(prices, capacity).items()]
+        amount = STEP * min(demands[g] / n for g, n in pattern)
+        key = tuple(sorted(pattern))
         use[key] = use.get(key, 0.0) + amount
-        for x, n in pattern.items():
-            covered[x] += amount * n
-    return use, float((covered[lengths] / counts[lengths]).max(initial=1.0))
+        for g, n in pattern:
+            share[g] += amount * n / demands[g]
+    least = max(float(share.min()), STEP)
+    return {k: v / least for k, v in use.items()}
 
 
-def round_down(use: dict, counts: np.ndarray, scale: float):
-    """Whole uses of the patterns, best filled first, and the counts that are left."""
-    left, plan = counts.copy(), []
-    by_fill = sorted(use.items(), key=lambda p: (-sum(x * n for x, n in p[0]), -p[1], p[0]))
-    for key, amount in by_fill:
-        times = min(int(amount * scale), *(int(left[x] // n) for x, n in key))
-        if times > 0:
-            plan.append((key, times))
-            for x, n in key:
-                left[x] -= times * n
-    return plan, left
+def _alike(lists, times: int):
+    """Cut `times` sequences, whose slots take runs from `lists`, into groups alike."""
+    places = [[0, 0] for _ in lists]  # run, and how many of it are used
+    while times:
+        take = min([times, *(runs[p[0]][1] - p[1] for runs, p in zip(lists, places))])
+        yield [runs[p[0]][0] for runs, p in zip(lists, places)], take
+        times -= take
+        for runs, p in zip(lists, places):
+            p[1] += take
+            if p[1] == runs[p[0]][1]:
+                p[0], p[1] = p[0] + 1, 0
 
 
-def best_fit(left: np.ndarray, capacity: int):
-    """Patterns for the counts that are left: longest first, each to the fullest that fits.
+def round_down(use: dict, groups, scale: float):
+    """Open sequences for the rounded-down uses, and the counts of lengths left.
+
+    Slots of a class take its pieces longest first.  Returns [(contents, how many)] and runs.
+    """
+    runs = [list(g) for g in groups]
+    left = [sum(n for _, n in g) for g in groups]
+    opened = []
+
+    def draw(g, n):
+        out = []
+        while n:
+            x, have = runs[g][0]
+            k = min(have, n)
+            out.append((x, k))
+            runs[g][0] = (x, have - k)
+            if have == k:
+                runs[g].pop(0)
+            n -= k
+        return out
+
+    for key, amount in sorted(use.items(), key=lambda p: (-p[1], p[0])):
+        times = min(int(amount * scale), *(left[g] // n for g, n in key))
+        if times <= 0:
+            continue
+        lists = []
+        for g, n in key:
+            left[g] -= n * times
+            lists += [draw(g, times) for _ in range(n)]
+        opened += [(tuple((x, 1) for x in xs), k) for xs, k in _alike(lists, times)]
+    return opened, [r for g in runs for r in g]
+
+
+def best_fit(opened, runs, capacity: int):
+    """Place runs (length, count), longest first, each into the fullest sequence that it fits.
 
     Sequences with like contents are one group, so the work follows the number of groups.
     """
@@ -183,8 +236,9 @@ def best_fit(left: np.ndarray, capacity: int):
         groups.setdefault(room, []).append((contents, times))
         rooms[room] = True
 
-    for x in np.flatnonzero(left)[::-1]:
-        x, todo = int(x), int(left[x])
+    for contents, times in opened:
+        put(contents, capacity - sum(x * n for x, n in contents), times)
+    for x, todo in sorted(runs, reverse=True):
         while todo:
             fits = np.flatnonzero(rooms[x:])
             if not fits.size:
@@ -201,7 +255,7 @@ def best_fit(left: np.ndarray, capacity: int):
             used = min(times, todo)
             if times > used:
                 put(contents, room, times - used)
-            if contents and contents[-1][0] == x:
+            if contents[-1][0] == x:
                 new = (*contents[:-1], (x, contents[-1][1] + 1))
             else:
                 new = (*contents, (x, 1))
@@ -213,26 +267,23 @@ def best_fit(left: np.ndarray, capacity: int):
 def plan_slots(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS):
     """(length, from_rank, to_rank, first_sequence, per_sequence, first_offset) rows.
 
-    Ranks within a length count from 0.  Several scales of rounding are tried and the fewest
-    sequences kept; scale 0 leaves all to best fit.
+    Ranks within a length count from 0.  The program's uses are rounded at a few scales and
+    the plan with the fewest sequences is kept; scale 0 leaves all to best fit.
     """
     hist = np.zeros(capacity + 1, np.int64)
     for x, n in counts.items():
         hist[x] = n
     if not hist.any():
         return []
-    use, most = fractional_cover(hist, capacity, rounds)
-    best = None
-    for scale in (1.0 / most, 0.9 / most, 0.5 / most, 0.0):
-        plan, left = round_down(use, hist, scale)
-        plan = plan + best_fit(left, capacity)
-        total = sum(n for _, n in plan)
-        if best is None or total < best[0]:
-            best = total, plan
+    groups = classes_of(hist)
+    use = fractional_cover([g[0][0] for g in groups], [sum(n for _, n in g) for g in groups],
+                           capacity, rounds)
+    plans = [best_fit(*round_down(use, groups, scale), capacity) for scale in SCALES]
+    chosen = min(plans, key=lambda plan: sum(n for _, n in plan))
     rows, rank, sequence = [], np.zeros(capacity + 1, np.int64), 0
-    for key, times in best[1]:
+    for contents, times in chosen:
         offset = 0
-        for x, n in key:
+        for x, n in contents:
             rows.append((x, int(rank[x]), int(rank[x] + n * times), sequence, n, offset))
             rank[x] += n * times
             offset += x * n
