@@ -25,6 +25,7 @@ packed each; a null doc_id is carried along; an empty table gives no rows; other
 left out.  The tokenizer's special strings inside a text are ordinary text.
 """
 
+import os
 import re
 import zlib
 
@@ -41,9 +42,11 @@ CLASSES = 64  # of lengths, in the linear program
 ROUNDS = 250  # of multiplicative weights
 STEP, RATE = 0.25, 4.0  # share of a demand that a round covers at most; fall of the weights
 SCALES = (1.0, 0.9, 0.7, 0.4, 0.0)  # of the fractional uses before rounding down
-CACHE_WORDS = 200_000  # encoded words kept by a Python worker
+CACHE_WORDS = 500_000  # encoded words kept by a Python worker
 #: Characters that str.split() parts at and the tokenizer doesn't.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = re.compile("[\x1c-\x1f\ud800-\udfff]")
+_MARK = re.compile("[\u0300-\u036f]")
+_END = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?|#*$%&])")
 
 
 class WordEncoder:
@@ -56,20 +59,39 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        out = []
+        for i in range(0, len(texts), 10_000):
+            found = self.tokenizer.encode_batch_fast(
+                texts[i: i + 10_000], add_special_tokens=False)
+            out += [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        return out
+
+    @staticmethod
+    def _words(text: str) -> list[str] | None:
+        """Parts whose ids, one after the other, are those of the text; None if not sure.
+
+        A run of letters always ends a token, so that text may be parted before a punctuation
+        mark that follows a letter.  A-Z may be lower-cased first (the tokenizer does so),
+        unless a combining mark could join a letter.
+        """
+        if _ODD.search(text):
+            return None
+        if not _MARK.search(text):
+            text = text.encode().lower().decode()
+        return _END.sub(" ", text).split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; an Arrow batch at a time, so that new words are encoded together."""
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        split = [None if _ODD.search(t) else t.split() for t in texts]
+        split = [self._words(t) for t in texts]
         fresh: set[str] = set()
         for words in split:
             if words:
@@ -77,7 +99,7 @@ class WordEncoder:
         fresh.difference_update(known)
         fresh = list(fresh)
         known.update(zip(fresh, self._encode(fresh)))
-        out = [words and b"".join([known[w] for w in words]) or b"" for words in split]
+        out = [b"".join([known[w] for w in words]) if words else b"" for words in split]
         whole = [i for i, words in enumerate(split) if words is None]
         for i, data in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = data
