@@ -1,6 +1,8 @@
 """One query per operator over its whole table, with DuckDB SQL where there is some."""
 
-from pennywright.llm import mixing, packing, quality_rules, sql, winnowing
+from pennywright.llm import (
+    mixing, packing, quality_classifier, quality_rules, sql, winnowing,
+)
 from pennywright.llm.shared import table
 
 QUERIES: dict = {}
@@ -37,3 +39,9 @@ def op8(spark, sf_dir):
 @query("op9_fingerprints")
 def op9(spark, sf_dir):
     return winnowing.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_classifier")
+def op5(spark, sf_dir):
+    return quality_classifier.score_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
