@@ -1,7 +1,7 @@
 """One query per operator over its whole table, with DuckDB SQL where there is some."""
 
 from pennywright.llm import (
-    mixing, packing, quality_classifier, quality_rules, sql, winnowing,
+    html_text, mixing, packing, quality_classifier, quality_rules, sql, url_filters, winnowing,
 )
 from pennywright.llm.shared import table
 
@@ -45,3 +45,13 @@ def op9(spark, sf_dir):
 def op5(spark, sf_dir):
     return quality_classifier.score_documents(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_url_filters")
+def op4(spark, sf_dir):
+    return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_html_text")
+def op6(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
