@@ -1,7 +1,8 @@
 """One query per operator over its whole table, with DuckDB SQL where there is some."""
 
 from pennywright.llm import (
-    html_text, mixing, packing, quality_classifier, quality_rules, sql, url_filters, winnowing,
+    html_text, mixing, ngram_join, packing, quality_classifier, quality_rules, sql, url_filters,
+    winnowing,
 )
 from pennywright.llm.shared import table
 
@@ -55,3 +56,9 @@ def op4(spark, sf_dir):
 @query("op6_html_text")
 def op6(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op1_ngram_join", sql.NGRAM_JOIN)
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return ngram_join.join_groups(docs, n=3, num=90, den=100)

@@ -93,3 +93,36 @@ mtaken AS (
 
 MIXING = "WITH " + mixing("documents", (1, 2), 2, "mix-1") + """
 SELECT doc_id, domain, lang, source, n_tokens, epoch::INT AS epoch FROM mtaken"""
+
+
+def ngram_groups(docs: str, n: int, num: int, den: int) -> str:
+    """CTEs (of a WITH RECURSIVE) that end in jgroups: doc_id, n_shingles, component_id."""
+    grams = " || ' ' || ".join(f"ws[i + {k}]" for k in range(n))
+    return f"""
+jwords AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda w: w <> '') AS ws FROM {docs}),
+jshingles AS (
+  SELECT DISTINCT doc_id, {grams} AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM jwords WHERE len(ws) >= {n})
+  UNION ALL
+  SELECT doc_id, array_to_string(ws, ' ') FROM jwords WHERE len(ws) BETWEEN 1 AND {n - 1}),
+jsizes AS (SELECT doc_id, count(*) AS n FROM jshingles GROUP BY doc_id),
+jpairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM jshingles a JOIN jshingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+jlinks AS (
+  SELECT a, b FROM jpairs JOIN jsizes x ON a = x.doc_id JOIN jsizes y ON b = y.doc_id
+  WHERE {den} * c >= {num} * (x.n + y.n - c)),
+jreach AS (
+  SELECT doc_id AS src, doc_id AS dst FROM {docs}
+  UNION SELECT r.src, l.b FROM jreach r JOIN jlinks l ON r.dst = l.a),
+jgroups AS (
+  SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.component_id
+  FROM {docs} d LEFT JOIN jsizes s ON d.doc_id = s.doc_id
+  JOIN (SELECT src, min(dst) AS component_id FROM jreach GROUP BY src) r ON r.src = d.doc_id)"""
+
+
+NGRAM_JOIN = "WITH RECURSIVE " + ngram_groups("documents", 3, 90, 100) + """
+SELECT * FROM jgroups"""
