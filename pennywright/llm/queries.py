@@ -1,8 +1,8 @@
 """One query per operator over its whole table, with DuckDB SQL where there is some."""
 
 from pennywright.llm import (
-    html_text, mixing, ngram_join, packing, quality_classifier, quality_rules, sql, url_filters,
-    winnowing,
+    html_text, language_model, mixing, ngram_join, packing, quality_classifier, quality_rules, sql,
+    url_filters, winnowing,
 )
 from pennywright.llm.shared import table
 
@@ -62,3 +62,8 @@ def op6(spark, sf_dir):
 def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return ngram_join.join_groups(docs, n=3, num=90, den=100)
+
+
+@query("op3_lm_scoring")
+def op3(spark, sf_dir):
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
