@@ -2,7 +2,7 @@
 
 from pennywright.llm import (
     html_text, language_model, mixing, ngram_join, packing, quality_classifier, quality_rules, sql,
-    url_filters, winnowing,
+    suffix_dedup, url_filters, winnowing,
 )
 from pennywright.llm.shared import table
 
@@ -67,3 +67,8 @@ def op1(spark, sf_dir):
 @query("op3_lm_scoring")
 def op3(spark, sf_dir):
     return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark, sf_dir):
+    return suffix_dedup.digest_repeats(table(spark, sf_dir, "documents"))

@@ -131,8 +131,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = fingerprints(df.withColumn("__wn_range", at), "text", "fp").withColumn(
         "__wn_extra", F.lit(0))
     # the first document of each range once more, behind the range before
+    # at most MOST_RANGES + 1 rows of three numbers, so that no text is shuffled for them
     heads = df.withColumn("__wn_at", at).join(
-        used, F.col("__wn_at").eqNullSafe(F.col("__wn_range"))
+        F.broadcast(used), F.col("__wn_at").eqNullSafe(F.col("__wn_range"))
         & F.col("doc_id").eqNullSafe(F.col("__wn_first")))
     heads = heads.groupBy("__wn_before").agg(F.min("text").alias("text"))
     heads = heads.select(F.lit(None).cast(df.schema["doc_id"].dataType).alias("doc_id"), "text",
