@@ -18,13 +18,16 @@ sets reaches a threshold.
 4. Blocks of one group meet only for the documents outside the group's largest connected
    part, and only where sizes allow a link.
 
-Texts are read twice (signatures; sets of candidates).  No task holds a candidate group, only
+Texts are read three times (sizes and digests; signatures; sets of candidates) and shuffled only
+where the list of candidates is too long to broadcast.  No task holds a candidate group, only
 blocks; nothing is collected to the driver.
 
 Defined results: a null text, or one without words, has an empty set and links with
 nothing; fewer words than n make one n-gram of them all; repeated rows have equal sets and are
-one class; a null doc_id is never the id of a group (alone, it has none).  An empty
-table gives no rows.  Other columns are left out.
+one class; a null doc_id is never the id of a group (alone, it has none); rows of one
+doc_id with different texts share an id and its group.  An empty table gives no rows.
+`keep_first` keeps all columns, rows with a null doc_id, and repeated rows of what stays;
+elsewhere other columns are left out.
 """
 
 import hashlib
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pennywright.llm.components import components
-from pennywright.llm.shared import written
+from pennywright.llm.shared import small, written
 
 BITS = 2048  # of a token bitmap
 FANOUT = 8
@@ -272,24 +275,51 @@ def _edges(links) -> pa.RecordBatch:
         [pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set) and part signatures of each row."""
-    ladder = Ladder(num, den)
-
+def sized(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, digest of the set and its first 64 bits (null for an empty set)."""
     def run(batches):
         shingle = Shingler(n)
         for batch in batches:
             sets = shingle(batch.column("text").to_pylist())
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                       for s in sets]
-            signatures = [part_signatures(s, ladder).view(np.int64) for s in sets]
+            digests = [_digest(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "signatures"])
+                 pa.array(digests, pa.binary()), pa.array(map(_short, digests), pa.int64())],
+                ["doc_id", "n_shingles", "digest", "short"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, signatures array<long>")
+        run, "doc_id long, n_shingles long, digest binary, short long")
+
+
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
+def _short(digest: bytes | None) -> int | None:
+    return None if digest is None else int.from_bytes(digest[:8], "little", signed=True)
+
+
+def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """sig, short: part signatures of each set, once per set in a batch of rows."""
+    ladder = Ladder(num, den)
+
+    def run(batches):
+        shingle = Shingler(n)
+        for batch in batches:
+            seen, signatures, shorts = set(), [], []
+            for grams in shingle(batch.column("text").to_pylist()):
+                found = part_signatures(grams, ladder)
+                short = _short(_digest(grams)) if len(found) else None
+                if len(found) and short not in seen:
+                    seen.add(short)
+                    signatures.append(found.view(np.int64))
+                    shorts.append(np.full(len(found), short, np.int64))
+            if signatures:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(signatures)), pa.array(np.concatenate(shorts))],
+                    ["sig", "short"])
+
+    return docs.select("text").mapInArrow(run, "sig long, short long")
 
 
 def sets_of(texts: DataFrame, n: int) -> DataFrame:
@@ -403,25 +433,25 @@ def join_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 
     component_id is the smallest doc_id that links reach.
     """
-    rows = written(signed(docs, n, num, den), "join-signatures")
+    rows = written(sized(docs, n), "join-rows")
     classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"))
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"),
+        F.first("short").alias("short"))
     classes = written(classes, "join-classes")
-    # signatures of one row per class; its rows have the same
-    reps = rows.filter("doc_id IS NOT NULL").select("doc_id", "digest", "signatures").join(
-        classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
-    parts = reps.select("doc_id", F.explode("signatures").alias("sig"))
-    order = Window.partitionBy("sig").orderBy("doc_id")
-    chained = parts.withColumn("a", F.lag("doc_id").over(order)).filter("a IS NOT NULL")
-    teams = components(chained.select("a", F.col("doc_id").alias("b")))
-    teams = teams.select(F.col("node").alias("rep"), F.col("component").alias("team"))
-    sized = teams.join(classes.select("rep", "size"), "rep")
-    blocks = sized.groupBy("team").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
-    sized = written(sized.join(blocks, "team"), "join-teams")
+    # neighbours in a group of equal parts are an edge; the window only looks one row back
+    order = Window.partitionBy("sig").orderBy("short")
+    chained = signature_rows(docs, n, num, den).withColumn(
+        "a", F.lag("short").over(order)).filter("a <> short")
+    teams = components(chained.select("a", F.col("short").alias("b")))
+    teams = teams.select(F.col("node").alias("short"), F.col("component").alias("team"))
+    members = teams.join(classes, "short").filter("rep IS NOT NULL").select("team", "rep", "size")
+    blocks = members.groupBy("team").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    members = written(members.join(blocks, "team"), "join-members")
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("rep"), "text")
-    # rows of one doc_id may differ in text: keep the one with the class's set
-    sets = sets_of(sized.join(texts, "rep").select("team", "blocks", "rep", "size", "text"), n)
+    # rows of one doc_id may differ in text: the one of the class has its number of n-grams
+    sets = sets_of(texts.join(small(members), "rep").select(
+        "team", "blocks", "rep", "size", "text"), n)
     sets = written(sets.filter(F.length("grams") == F.col("size") * 8)
                    .dropDuplicates(["rep"]), "join-sets")
     block = F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int")
@@ -436,3 +466,10 @@ def join_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
         "digest", F.coalesce("found", "rep").alias("component"))
     return rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Rows of `docs` without documents whose group has one of smaller doc_id; all columns."""
+    found = join_groups(docs, n, num, den).filter("component_id < doc_id")
+    gone = written(found.select(F.col("doc_id").alias("__nj_gone")).distinct(), "join-gone")
+    return docs.join(small(gone), F.col("doc_id") == F.col("__nj_gone"), "left_anti")

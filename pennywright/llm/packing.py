@@ -43,6 +43,7 @@ ROUNDS = 250  # of multiplicative weights
 STEP, RATE = 0.25, 4.0  # share of a demand that a round covers at most; fall of the weights
 SCALES = (1.0, 0.9, 0.7, 0.4, 0.0)  # of the fractional uses before rounding down
 CACHE_WORDS = 500_000  # encoded words kept by a Python worker
+WORD_END = "</w>"  # the tokenizer's mark on tokens that end a word
 #: Characters that str.split() parts at and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f\ud800-\udfff]")
 _MARK = re.compile("[\u0300-\u036f]")
@@ -63,6 +64,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        for token, i in vocabulary.items():
+            self.last[i] = token.endswith(WORD_END)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -72,6 +77,26 @@ class WordEncoder:
             out += [np.asarray(e.ids, "<u4").tobytes() for e in found]
         return out
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: many in one text, parted where a word ends.
+
+        That is cheaper than a text per word.  Where normalizing would part a word, the
+        number of ends shows it, and the words are encoded one by one.
+        """
+        out = []
+        for i in range(0, len(words), 2_000):
+            some = words[i: i + 2_000]
+            ids = np.frombuffer(self._encode([" ".join(some)])[0], "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                data, at = ids.tobytes(), 0
+                for end in (4 * ends).tolist():
+                    out.append(data[at:end])
+                    at = end
+            else:
+                out += self._encode(some)
+        return out
+
     @staticmethod
     def _words(text: str) -> list[str] | None:
         """Parts whose ids, one after the other, are those of the text; None if not sure.
@@ -97,8 +122,10 @@ class WordEncoder:
             if words:
                 fresh.update(words)
         fresh.difference_update(known)
-        fresh = list(fresh)
-        known.update(zip(fresh, self._encode(fresh)))
+        plain = [w for w in fresh if w.isalpha()]
+        other = list(fresh.difference(plain))
+        known.update(zip(plain, self._encode_words(plain)))
+        known.update(zip(other, self._encode(other)))
         out = [b"".join([known[w] for w in words]) if words else b"" for words in split]
         whole = [i for i, words in enumerate(split) if words is None]
         for i, data in zip(whole, self._encode([texts[i] for i in whole])):

@@ -44,3 +44,11 @@ def lower_ascii(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """A narrow written table, marked for broadcast if it has at most `most_rows` rows.
+
+    Beyond that the join is left to Spark, which shuffles both sides.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
