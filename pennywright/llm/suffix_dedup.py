@@ -48,7 +48,7 @@ PLACES = 1 << 20  # more than the bytes of a chunk
 LONGEST = 4096  # windows of a context
 BATCH = 1_500_000  # bytes of distinct contexts per index
 HOT = 20_000  # texts of an anchor
-DEEP = 7  # symbols in a first sort key
+DEEP = 4  # symbols in a first sort key
 
 
 # ---- anchors ----------------------------------------------------------------------------
@@ -106,14 +106,26 @@ def contexts_of(data: bytes, width: int = WIDTH, k: int = K):
 # ---- run-length index -------------------------------------------------------------------
 
 
-def _ranked(key: np.ndarray) -> tuple[np.ndarray, int]:
-    """Ranks from 1 by key, equal keys alike, and how many there are."""
-    order = np.argsort(key)
-    ordered = key[order]
-    step = np.ones(len(key), np.int64)
-    step[1:] = ordered[1:] != ordered[:-1]
-    rank = np.empty(len(key), np.int64)
-    total = np.cumsum(step)
+def _ranked(high: np.ndarray, low: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """Ranks from 1 by the pair (high, low < 2**bits), equal pairs alike, and how many there are.
+
+    Where pair and place fit into 63 bits they are sorted as one number, which is several
+    times faster than sorting places by a key.
+    """
+    n = len(high)
+    places = n.bit_length()
+    if int(high.max()).bit_length() + bits + places <= 63:
+        packed = np.sort((high << (bits + places)) | (low << places) | np.arange(n))
+        order = packed & ((1 << places) - 1)
+        ordered = packed >> places
+        step = ordered[1:] != ordered[:-1]
+    else:
+        order = np.lexsort((low, high))
+        step = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+    total = np.ones(n, np.int64)
+    np.cumsum(step, out=total[1:])
+    total[1:] += 1
+    rank = np.empty(n, np.int64)
     rank[order] = total
     return rank, int(total[-1])
 
@@ -140,28 +152,33 @@ class RunIndex:
         where = np.arange(n)
         key = np.zeros(n, np.int64)
         for t in range(DEEP):
-            key = key * 512 + np.where(left >= t, text[t: n + t], 0)
-        rank, groups = _ranked(key)
+            key = (key << 9) | np.where(left >= t, text[t: n + t], 0)
+        rank, groups = _ranked(key, np.zeros(n, np.int64), 0)
+        bits = n.bit_length()
         depth, half = DEEP, rank
         half_depth = DEEP
         while groups < n and depth <= int(sizes.max()):
             behind = np.where(left >= depth, rank[np.minimum(where + depth, n - 1)], 0)
-            rank, groups = _ranked(rank * (n + 2) + behind)
+            rank, groups = _ranked(rank, behind, bits)
             depth *= 2
             if depth <= width:
                 half, half_depth = rank, depth
-        order = np.lexsort((string, rank))  # equal suffixes by the order of their strings
+        last, _ = _ranked(rank, string, bits)  # equal suffixes by the order of their strings
+        order = np.empty(n, np.int64)
+        order[last - 1] = where
         # intervals of suffixes that share their first `width` symbols
         rest = half[np.minimum(where + width - half_depth, n - 1)]
         same = (half * (n + 2) + rest)[order]
         whole = (left >= width)[order]
         opens = np.ones(n, bool)
         opens[1:] = (same[1:] != same[:-1]) | ~whole[1:] | ~whole[:-1]
-        self.interval_starts = np.flatnonzero(opens)
         before = np.zeros(n, np.int64)
         before[1:] = text[: n - 1]
         symbol = before[order]  # 0, a terminator, before the start of a string
-        self.run_starts = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
+        heads = np.r_[True, symbol[1:] != symbol[:-1]]
+        self.run_of = np.cumsum(heads, dtype=np.int32) - 1  # rank support of the run heads
+        self.interval_of = np.cumsum(opens, dtype=np.int32) - 1
+        self.run_starts = np.flatnonzero(heads)
         run_symbol = symbol[self.run_starts]
         run_size = np.diff(np.append(self.run_starts, n))
         by_symbol = np.argsort(run_symbol, kind="stable")
@@ -173,7 +190,7 @@ class RunIndex:
 
     def step(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of the suffixes one symbol longer, and the runs they were in."""
-        run = np.searchsorted(self.run_starts, rank, "right") - 1
+        run = self.run_of[rank]
         return self.run_targets[run] + rank - self.run_starts[run], run
 
     def stream(self):
@@ -192,8 +209,7 @@ class RunIndex:
             rank = moved
             by_size, sizes = by_size[:active], sizes[:active]
             if done >= self.width:
-                interval = np.searchsorted(self.interval_starts, rank, "right") - 1
-                yield interval, by_size, sizes - done
+                yield self.interval_of[rank], by_size, sizes - done
 
 
 def repeated_windows(strings: list[bytes], width: int) -> list[np.ndarray]:
@@ -204,7 +220,7 @@ def repeated_windows(strings: list[bytes], width: int) -> list[np.ndarray]:
         return [np.zeros(0, bool) for _ in strings]
     interval, string, start = parts
     place = string * (1 << 32) + start
-    first = np.full(len(index.interval_starts), np.iinfo(np.int64).max)
+    first = np.full(int(index.interval_of[-1]) + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, interval, place)
     again = place > first[interval]
     out = [np.zeros(max(len(s) - width + 1, 0), bool) for s in strings]
@@ -256,7 +272,7 @@ def _anchor_rows(keyed: DataFrame, width: int, k: int) -> DataFrame:
 
 
 def _context_rows(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """route, __sd_id, __sd_key, start, context of rows that carry their anchors to keep."""
+    """route, __sd_id, __sd_key, start, own, context of rows that carry their anchors to keep."""
     def run(batches):
         for batch in batches:
             rows = []
@@ -264,17 +280,18 @@ def _context_rows(docs: DataFrame, width: int, k: int) -> DataFrame:
                     "__sd_id", "__sd_key", "__sd_text", "kept")]):
                 data = text.encode()
                 hot = {a["anchor"]: a["hot"] for a in kept}
-                anchors, first, size, _ = contexts_of(data, width, k)
-                for a, f, s in zip(anchors.view(np.int64).tolist(), first.tolist(), size.tolist()):
+                anchors, first, size, own = contexts_of(data, width, k)
+                for a, f, s, o in zip(anchors.view(np.int64).tolist(), first.tolist(),
+                                      size.tolist(), own.tolist()):
                     if a not in hot:
                         continue
                     if hot[a]:
                         for w in range(f, f + s):
                             part = data[w: w + width]
                             route = xxhash.xxh3_64_intdigest(part) - 2**63
-                            rows.append((route, row_id, key, w, part))
+                            rows.append((route, row_id, key, w, False, part))
                     else:
-                        rows.append((a, row_id, key, f, data[f: f + s + width - 1]))
+                        rows.append((a, row_id, key, f, o, data[f: f + s + width - 1]))
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows = []
@@ -282,24 +299,36 @@ def _context_rows(docs: DataFrame, width: int, k: int) -> DataFrame:
                 yield _batch(rows)
 
     def _batch(rows):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (*[pa.int64()] * 4, pa.bool_(), pa.binary())
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-            ["route", "__sd_id", "__sd_key", "start", "context"])
+            ["route", "__sd_id", "__sd_key", "start", "own", "context"])
 
-    return docs.mapInArrow(
-        run, "route long, __sd_id long, __sd_key long, start long, context binary")
+    return docs.mapInArrow(run, "route long, __sd_id long, __sd_key long, start long, "
+                                "own boolean, context binary")
 
 
 def _marks(contexts: DataFrame, width: int, batch_bytes: int) -> DataFrame:
     """__sd_id, __sd_key, start, n: runs of n windows that also start earlier."""
     def run(batches):
         marks, held = [], []  # held: first occurrences of the batch's distinct contexts
-        size, route, seen = 0, None, {}
+        size, route, seen, group = 0, None, {}, []
+
+        def close():
+            """Put the distinct contexts of an anchor into the batch.
+
+            A single one has no windows in common with others, and unless its anchor is met in
+            it more than once none with itself.
+            """
+            nonlocal size
+            if len(group) > 1 or (group and group[0][4]):
+                held.extend(group)
+                size += sum(len(g[3]) for g in group)
+            group.clear()
 
         def flush():
             found = repeated_windows([h[3] for h in held], width)
-            for (row_id, key, start, _), flags in zip(held, found):
+            for (row_id, key, start, *_), flags in zip(held, found):
                 marks.extend((row_id, key, start + f, n) for f, n in runs_of(flags))
 
         def out():
@@ -311,9 +340,10 @@ def _marks(contexts: DataFrame, width: int, batch_bytes: int) -> DataFrame:
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in (
-                "route", "__sd_id", "__sd_key", "start", "context")]
-            for r, row_id, key, start, context in zip(*columns):
+                "route", "__sd_id", "__sd_key", "start", "context", "own")]
+            for r, row_id, key, start, context, own in zip(*columns):
                 if r != route:
+                    close()
                     route, seen = r, {}
                     if size >= batch_bytes:
                         flush()
@@ -322,12 +352,12 @@ def _marks(contexts: DataFrame, width: int, batch_bytes: int) -> DataFrame:
                 first = seen.get(context)
                 if first is None:
                     seen[context] = (row_id, start)
-                    held.append((row_id, key, start, context))
-                    size += len(context)
+                    group.append((row_id, key, start, context, own))
                 elif (row_id, start) > first:
                     marks.append((row_id, key, start, len(context) - width + 1))
             if len(marks) > 50_000:
                 yield out()
+        close()
         if held:
             flush()
         yield out()
@@ -361,7 +391,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K, hot: int = HOT,
     anchors = _anchor_rows(keyed, width, k).groupBy("anchor", "__sd_key").agg(
         F.max("again").alias("again")).repartition("anchor")
     common = anchors.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("texts"), F.max("again").alias("again")
+        # counts a column, so that both uses of the exchange are alike and it runs once
+        F.count("__sd_key").alias("texts"), F.max("again").alias("again")
     ).filter("texts > 1 OR again").select("anchor", (F.col("texts") > hot).alias("hot"))
     kept = anchors.select("anchor", "__sd_key").join(common, "anchor").join(first, "__sd_key")
     kept = kept.groupBy(F.col("first").alias("__sd_id"), "__sd_key").agg(
