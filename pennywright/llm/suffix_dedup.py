@@ -414,7 +414,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K, hot: int = HOT,
 def _spans(size: int, copy: bool, marks, width: int):
     if copy:
         return [(0, size)]
-    return spans_of([(m["start"], m["n"]) for m in marks or ()], width)
+    return spans_of([(m["start"], m["n"]) for m in (() if marks is None else marks)], width)
 
 
 def digest_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, hot: int = HOT,
