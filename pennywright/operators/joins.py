@@ -4,40 +4,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_KEYS = 256
-HOT_ROWS = 100_000
-SALTS = 512
+PARTS = 512
 
 
 def compute_once(df: DataFrame, keys, compute: Callable[[DataFrame], DataFrame], spread: str,
-                 hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                 parts: int = PARTS) -> DataFrame:
     """Attach `compute(distinct keys)` to every row, computing each key once.
 
-    Keys are counted before the shuffle.  The most frequent keys (at most
-    HOT_KEYS, each with `hot_rows` rows or more) are split over `salts` parts by
-    a hash of the `spread` column and their results repeated per part; all other
-    keys join as they are.  The list of frequent keys is bounded, so it is
-    broadcast.  Keys are not null.
+    Keys are counted before the shuffle.  Every key with more than 1 / `parts` of all rows
+    is split over `parts` salts by a hash of the `spread` column and its result repeated per
+    salt; all other keys join as they are.  There are fewer than `parts` such keys whatever the
+    data, so their list is broadcast.  Keys are not null.
     """
     keys = list(keys)
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_freq"))
-    hot = (
-        counted.filter(F.col("_freq") >= hot_rows)
-        .orderBy(F.desc("_freq"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+    total = counted.agg(F.sum("_freq")).scalar()
+    hot = counted.filter(F.col("_freq") * parts > total).select(*keys, F.lit(True).alias("_hot"))
     hot = F.broadcast(hot)
     results = compute(counted.drop("_freq")).join(hot, keys, "left")
     results = results.withColumn(
         "_salt",
         F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(
                 F.array(F.lit(0))
             )
         ),
     ).drop("_hot")
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
     rows = df.join(hot, keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
     return rows.drop("_hot").join(results, keys + ["_salt"], "left").drop("_salt")
 

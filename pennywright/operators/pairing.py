@@ -33,4 +33,8 @@ def pair_in_order(left: DataFrame, right: DataFrame, statements: DataFrame,
     )
     ours = number_within(natural(translated), keys, "id").withColumnRenamed("id", "left_id")
     theirs = number_within(natural(right), keys, "id").withColumnRenamed("id", "right_id")
-    return ours.join(theirs, keys + ["ordinal"], "left").select("left_id", "right_id")
+    # null parts of a key are equal, as any other value
+    same = [F.col(f"ours.{k}").eqNullSafe(F.col(f"theirs.{k}")) for k in keys]
+    same.append(F.col("ours.ordinal") == F.col("theirs.ordinal"))
+    return ours.alias("ours").join(theirs.alias("theirs"), same, "left").select(
+        "left_id", "right_id")

@@ -11,34 +11,35 @@ BLOCK = 1_000_000
 
 
 def _cut(df: DataFrame, keys, order: str, width: int) -> DataFrame:
-    """Rows with their block, shuffled by key and block.
+    """Rows with their key as one struct and their block, shuffled by both.
 
-    Leaving out null keys here, as the joins below would, keeps both uses of the
-    exchange alike, so that Spark runs it once.
+    A struct is never null and equal where its null parts are, so rows with null key parts
+    stay; rows without an order value are a block of their own.  As neither column can be
+    null, both uses of the exchange are alike and Spark runs it once.
     """
-    cut = df.withColumn("_block", F.expr(f"`{order}` div {width}L"))
-    return cut.dropna(subset=[*keys, order, "_block"]).repartition(*keys, "_block")
+    block = F.coalesce(F.expr(f"`{order}` div {width}L"), F.lit(-1).cast("long"))
+    cut = df.withColumns({"_key": F.struct(*keys), "_block": block})
+    return cut.repartition("_key", "_block")
 
 
 def number_within(df: DataFrame, keys, order: str, name: str = "ordinal",
                   width: int = BLOCK) -> DataFrame:
     """Number rows 1, 2, 3 ... within `keys` by a unique whole-number `order`.
 
-    Keys are not null.  Rows shuffle once, by key and block: numbering, counting
-    and the join with the small offsets all use that one exchange.
+    Null key parts are equal to each other.  Rows shuffle once, by key and block: numbering,
+    counting and the join with the small offsets all use that one exchange.
     """
-    keys = list(keys)
     cut = _cut(df, keys, order, width)
-    sizes = cut.groupBy(*keys, "_block").agg(F.count(order).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
+    sizes = cut.groupBy("_key", "_block").agg(F.count(F.struct(order)).alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = sizes.select(
-        *keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+        "_key", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    inside = Window.partitionBy("_key", "_block").orderBy(order)
     numbered = cut.withColumn("_rn", F.row_number().over(inside))
-    return numbered.join(offsets, keys + ["_block"]).select(
+    return numbered.join(offsets, ["_key", "_block"]).select(
         *df.columns, (F.col("_before") + F.col("_rn")).cast("long").alias(name)
     )
 
@@ -48,34 +49,33 @@ def carry_forward(df: DataFrame, keys, order: str, marks: dict[str, Column],
     """Add, per mark, its last non-null value at or above each row of the group.
 
     With `before`, the row's own value does not count.  `order` is a unique
-    whole number within the group; keys are not null.
+    whole number within the group; null key parts are equal to each other.
 
     Rows shuffle once, by key and block.  The block summary takes the last
     marked row as a whole, so that it reads the same columns and Spark reuses
     the exchange instead of computing the input again.
     """
-    keys = list(keys)
     names = list(marks)
     cut = _cut(df.withColumns({f"_m_{n}": c for n, c in marks.items()}), keys, order, width)
     whole = F.struct(*cut.columns)
-    blocks = cut.groupBy(*keys, "_block").agg(*[
+    blocks = cut.groupBy("_key", "_block").agg(*[
         F.max_by(whole, F.when(F.col(f"_m_{n}").isNotNull(), F.col(order))).alias(f"_b_{n}")
         for n in names
-    ]).select(*keys, "_block", *[F.col(f"_b_{n}._m_{n}").alias(f"_b_{n}") for n in names])
-    above = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
+    ]).select("_key", "_block", *[F.col(f"_b_{n}._m_{n}").alias(f"_b_{n}") for n in names])
+    above = Window.partitionBy("_key").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
     carried = blocks.select(
-        *keys, "_block",
+        "_key", "_block",
         *[F.last(f"_b_{n}", ignorenulls=True).over(above).alias(f"_c_{n}") for n in names],
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(
+    inside = Window.partitionBy("_key", "_block").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1 if before else Window.currentRow
     )
     local = cut.withColumns(
         {f"_l_{n}": F.last(f"_m_{n}", ignorenulls=True).over(inside) for n in names}
     )
-    return local.join(carried, keys + ["_block"]).select(
+    return local.join(carried, ["_key", "_block"]).select(
         *df.columns,
         *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in names],
     )

@@ -59,20 +59,21 @@ def summary(ledger: DataFrame, month=None, category=None, account_type=None) ->
 
 
 @named("bank.by_month")
-def by_month(ledger: DataFrame, account_type: str = None, months: int = 12) -> DataFrame:
+def by_month(ledger: DataFrame, account_type: str = None, months: int = 12,
+             cap: int | None = 60) -> DataFrame:
     return (
         where(ledger, _account(account_type))
         .groupBy(dates.month_key(F.col("date")).alias("month"))
         .agg(row_count(), spent(), received())
         .orderBy(F.desc("month"))
-        .limit(capped(months, 60))
+        .limit(capped(months, cap))
     )
 
 
 @named("bank.find")
 def find(ledger: DataFrame, account_type=None, category=None, start_date=None, end_date=None,
          min_amount=None, max_amount=None, transaction_type=None, description=None,
-         bank_name=None, limit: int = 50) -> DataFrame:
+         bank_name=None, limit: int = 50, cap: int | None = 100) -> DataFrame:
     """Search with any mix of filters; type and bank are compared as given."""
     date, amount = F.col("date"), F.col("amount")
     chosen = where(
@@ -87,7 +88,7 @@ def find(ledger: DataFrame, account_type=None, category=None, start_date=None, e
         holds(F.col("description"), description) if description else None,
         F.col("bank_name") == bank_name if bank_name else None,
     )
-    return newest_first(chosen, capped(limit, 100))
+    return newest_first(chosen, capped(limit, cap))
 
 
 _BY_CATEGORY = ["date", "description", "clean_description", "amount", "transaction_type",
@@ -96,7 +97,7 @@ _BY_CATEGORY = ["date", "description", "clean_description", "amount", "transacti
 
 @named("bank.by_category")
 def by_category(ledger: DataFrame, category: str, year=None, month=None, account_type=None,
-                transaction_type=None, limit: int = 100) -> DataFrame:
+                transaction_type=None, limit: int = 100, cap: int | None = 200) -> DataFrame:
     chosen = where(
         _with_clean(ledger),
         holds(F.col("category"), category),
@@ -104,7 +105,7 @@ def by_category(ledger: DataFrame, category: str, year=None, month=None, account
         _account(account_type),
         F.col("transaction_type") == transaction_type.upper() if transaction_type else None,
     )
-    return newest_first(chosen.select("id", *_BY_CATEGORY, "balance"), capped(limit, 200))
+    return newest_first(chosen.select("id", *_BY_CATEGORY, "balance"), capped(limit, cap))
 
 
 def _investments(ledger, year, month):
@@ -130,9 +131,10 @@ def investment_summary(ledger: DataFrame, year=None, month=None) -> DataFrame:
 
 
 @named("bank.investment_rows")
-def investment_rows(ledger: DataFrame, year=None, month=None, limit: int = 200) -> DataFrame:
+def investment_rows(ledger: DataFrame, year=None, month=None, limit: int = 200,
+                    cap: int | None = 200) -> DataFrame:
     chosen = _investments(_with_clean(ledger), year, month)
-    return newest_first(chosen.select("id", *_BY_CATEGORY), capped(limit, 200))
+    return newest_first(chosen.select("id", *_BY_CATEGORY), capped(limit, cap))
 
 
 @named("bank.balances")
@@ -145,13 +147,14 @@ def balances(ledger: DataFrame, account_type: str = None) -> DataFrame:
 
 
 @named("bank.uncategorized")
-def uncategorized(ledger: DataFrame, account_type: str = None, limit: int = 50) -> DataFrame:
+def uncategorized(ledger: DataFrame, account_type: str = None, limit: int = 50,
+                  cap: int | None = 100) -> DataFrame:
     """Debits marked `Uncategorized`; a null category does not count here."""
     gap = (F.col("category") == "Uncategorized") & is_debit()
     return (
         where(ledger, gap, _account(account_type))
         .orderBy(F.desc("amount"), "id")
-        .limit(capped(limit, 100))
+        .limit(capped(limit, cap))
     )
 
 
@@ -164,7 +167,7 @@ def statements(registry: DataFrame) -> DataFrame:
 
 
 @named("bank.loan_summary")
-def loan_summary(loans: DataFrame, months: int = 12) -> DataFrame:
+def loan_summary(loans: DataFrame, months: int = 12, cap: int | None = 60) -> DataFrame:
     """Loan payments by month; the ending balance is the lowest one."""
     return (
         loans.groupBy(dates.month_key(F.col("date")).alias("month"))
@@ -176,20 +179,20 @@ def loan_summary(loans: DataFrame, months: int = 12) -> DataFrame:
             dollars(F.min("balance")).alias("ending_balance"),
         )
         .orderBy(F.desc("month"))
-        .limit(capped(months, 60))
+        .limit(capped(months, cap))
     )
 
 
 @named("bank.loan_rows")
 def loan_rows(loans: DataFrame, start_date=None, end_date=None, limit: int = 50,
-              tie_break=("id",)) -> DataFrame:
+              tie_break=("id",), cap: int | None = 100) -> DataFrame:
     date = F.col("date")
     chosen = where(
         loans,
         date >= F.lit(start_date).cast("date") if start_date else None,
         date <= F.lit(end_date).cast("date") if end_date else None,
     )
-    return chosen.orderBy(F.desc("date"), *tie_break).limit(capped(limit, 100))
+    return chosen.orderBy(F.desc("date"), *tie_break).limit(capped(limit, cap))
 
 
 @named("bank.loan_totals")

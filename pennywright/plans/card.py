@@ -42,7 +42,7 @@ def subcategories(ledger: DataFrame, category: str) -> DataFrame:
 
 
 @named("card.merchants")
-def merchants(ledger: DataFrame, limit: int = 20) -> DataFrame:
+def merchants(ledger: DataFrame, limit: int = 20, cap: int | None = 100) -> DataFrame:
     """Most frequent merchants (not the most expensive)."""
     return (
         ledger.filter(_named_merchant())
@@ -55,7 +55,7 @@ def merchants(ledger: DataFrame, limit: int = 20) -> DataFrame:
             F.max("date").alias("last_seen"),
         )
         .orderBy(F.desc("transaction_count"), "merchant_name")
-        .limit(capped(limit, 100))
+        .limit(capped(limit, cap))
     )
 
 
@@ -84,7 +84,7 @@ def spending_summary(ledger: DataFrame, month: str = None, category: str = None)
 
 
 @named("card.by_month")
-def spending_by_month(ledger: DataFrame, months: int = 6) -> DataFrame:
+def spending_by_month(ledger: DataFrame, months: int = 6, cap: int | None = 24) -> DataFrame:
     return (
         ledger.groupBy(dates.month_key(F.col("date")).alias("month"))
         .agg(
@@ -94,7 +94,7 @@ def spending_by_month(ledger: DataFrame, months: int = 6) -> DataFrame:
             dollars(mean(F.col("amount"), is_debit())).alias("avg_debit"),
         )
         .orderBy(F.desc("month"))
-        .limit(capped(months, 24))
+        .limit(capped(months, cap))
     )
 
 
@@ -108,7 +108,7 @@ _FOUND_RAW = ["id", "date", "description", "amount", "transaction_type", "mercha
 @named("card.find")
 def find(ledger: DataFrame, merchant=None, category=None, start_date=None, end_date=None,
          min_amount=None, max_amount=None, transaction_type=None, bank_name=None,
-         limit: int = 20) -> DataFrame:
+         limit: int = 20, cap: int | None = 100) -> DataFrame:
     """Search with any mix of filters; raw ledgers give fewer columns."""
     date, amount = F.col("date"), F.col("amount")
     chosen = where(
@@ -123,7 +123,7 @@ def find(ledger: DataFrame, merchant=None, category=None, start_date=None, end_d
         F.col("bank_name") == bank_name.lower() if bank_name else None,
     )
     columns = _FOUND if has(ledger, "subcategory") else _FOUND_RAW
-    return newest_first(narrowed(chosen, columns), capped(limit, 100))
+    return newest_first(narrowed(chosen, columns), capped(limit, cap))
 
 
 @named("card.list")
@@ -174,7 +174,7 @@ def duplicates(ledger: DataFrame, days_window: int = 3) -> DataFrame:
 
 
 @named("card.uncategorized")
-def uncategorized(ledger: DataFrame, limit: int = 20) -> DataFrame:
+def uncategorized(ledger: DataFrame, limit: int = 20, cap: int | None = 100) -> DataFrame:
     """Debits without a category or a merchant, largest first."""
     gap = (
         F.col("category").isNull()
@@ -187,7 +187,7 @@ def uncategorized(ledger: DataFrame, limit: int = 20) -> DataFrame:
         .select("id", "date", "description", "amount", "transaction_type", "merchant_name",
                 "category", "bank_name")
         .orderBy(F.desc("amount"), "id")
-        .limit(capped(limit, 100))
+        .limit(capped(limit, cap))
     )
 
 

@@ -5,8 +5,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pennywright.functions.money import dollars, is_credit, is_debit, total
 
 
-def capped(limit: int, cap: int) -> int:
-    return min(int(limit), cap)
+def capped(limit: int, cap: int | None) -> int:
+    """`limit`, at most `cap`; None lifts the cap."""
+    return int(limit) if cap is None else min(int(limit), cap)
 
 
 def where(df: DataFrame, *conditions: Column | None) -> DataFrame:

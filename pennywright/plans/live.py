@@ -46,18 +46,18 @@ def by_category(feed: DataFrame, start_date=None, end_date=None,
 
 @named("live.by_merchant")
 def by_merchant(feed: DataFrame, start_date=None, end_date=None, limit: int = 20,
-                include_pending: bool = True) -> DataFrame:
+                include_pending: bool = True, cap: int | None = 100) -> DataFrame:
     chosen = _chosen(feed, start_date, end_date, include_pending)
     return (
         _spend(chosen, "merchant_name")
         .orderBy(F.desc("total_spent"), "merchant_name")
-        .limit(capped(limit, 100))
+        .limit(capped(limit, cap))
     )
 
 
 @named("live.rows")
 def rows(feed: DataFrame, start_date=None, end_date=None, limit: int = 50,
-         include_pending: bool = True) -> DataFrame:
+         include_pending: bool = True, cap: int | None = 500) -> DataFrame:
     chosen = _chosen(feed, start_date, end_date, include_pending)
     return (
         chosen.select(
@@ -66,7 +66,7 @@ def rows(feed: DataFrame, start_date=None, end_date=None, limit: int = 50,
             feed_type(F.col("amount")).alias("transaction_type"), "pending",
         )
         .orderBy(F.desc("date"), "transaction_id")
-        .limit(capped(limit, 500))
+        .limit(capped(limit, cap))
     )
 
 

@@ -1,14 +1,17 @@
 """Where jobs put intermediate tables: the shared folder the cluster names."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    """A new folder under spark.checkpoint.dir, or beside the session's tables where it is unset.
+
+    Both are folders that driver and executors share.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir") + "/stages")
     return f"{base.rstrip('/')}/pennywright-{uuid.uuid4().hex}"
 
 
