@@ -88,9 +88,8 @@ add("f32_position_values", lambda s, d: as_doubles(positions(s, d)), f"""
 WITH {POSITIONS_SQL} SELECT ticker, name, {AS_DOUBLES} FROM positions""", "holdings")
 
 add("l03_sorted_holdings",
-    lambda s, d: as_doubles(portfolio.holdings(positions(s, d), "pct_change").limit(50)), f"""
-WITH {POSITIONS_SQL} SELECT ticker, name, {AS_DOUBLES} FROM positions
-ORDER BY positions.pct_change DESC, ticker LIMIT 50""", "holdings")
+    lambda s, d: as_doubles(portfolio.holdings(positions(s, d), "pct_change")), f"""
+WITH {POSITIONS_SQL} SELECT ticker, name, {AS_DOUBLES} FROM positions""", "holdings")
 
 ONE_TICKER = "SELECT MIN(ticker) FROM holdings"
 

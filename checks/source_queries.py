@@ -258,7 +258,7 @@ def turn_log(spark, sf_dir):
         F.lit("2024-01-31T00:00:00").alias("timestamp"))
     path = scratch.shared_folder(spark)
     feeds.write_turn_log(log, path)
-    back = spark.read.schema(feeds.TURN_LOG).json(path)
+    back = feeds.read_turn_log(spark, path)
     return back.select(
         "turn_number", "question", F.array_join("tools_invoked", ",").alias("tools"),
         F.get("tool_results", F.lit(0))["conv"].alias("conv"), "final_answer", "input_tokens",

@@ -325,9 +325,10 @@ CARD_OUT = ["file_id", "date", "description", "amount", "transaction_type", "mer
             "category", "confidence_score"]
 
 
-def one_issuer(issuer, kind):
+def one_issuer(issuer):
+    """Rows of one issuer, out of the statements of all."""
     def run(spark, sf_dir):
-        files = card_files(spark, sf_dir).filter(F.col("file_id") % 6 == kind)
+        files = card_files(spark, sf_dir)
         info = st.card_issuers(files).select("file_id", "issuer", "closing_month", "closing_year")
         section = st.card_section(text_source.to_lines(files)).join(info, "file_id")
         rows = st.card_lines(section).filter(F.col("bank_name") == issuer)
@@ -338,7 +339,7 @@ def one_issuer(issuer, kind):
 for _i, (_name, _issuer, _score) in enumerate([
         ("t06_robinhood", "robinhood", 0.95), ("t07_citi", "citi", 0.97),
         ("t08_bofa", "bofa", 0.96), ("t09_capital_one", "capital_one", 0.96)]):
-    add(_name, one_issuer(_issuer, _i), f"WITH {card_sql(_i, _score)}", "ledger")
+    add(_name, one_issuer(_issuer), f"WITH {card_sql(_i, _score)}", "ledger")
 
 
 def dispatched(spark, sf_dir):
@@ -362,8 +363,8 @@ add("f26_section_lines",
     "SELECT id AS file_id, CAST(1 AS BIGINT) AS n_lines FROM ledger WHERE id % 6 < 5", "ledger")
 
 add("f27_reward_bleed",
-    lambda s, d: st.card_section(text_source.to_lines(
-        card_files(s, d).filter("file_id % 6 = 1"))).select("file_id", "line"), f"""
+    lambda s, d: st.card_section(text_source.to_lines(card_files(s, d))).select(
+        "file_id", "line").filter(F.col("line").contains("Eligible Purchases")), f"""
 SELECT id AS file_id, concat_ws(' ', strftime(date, '%m/%d'),
   CASE WHEN id % 4 = 1 THEN strftime(date, '%m/%d') END, {WHAT},
   CASE WHEN transaction_type = 'CREDIT' THEN '-' ELSE '' END || '$'

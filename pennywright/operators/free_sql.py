@@ -5,21 +5,79 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 _FIRST_WORD = re.compile(r"^\s*(\w+)")
-_INSERT = re.compile(r"\binsert\s+(into|overwrite)\b", re.I)
-_LITERAL = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/", re.S)
+_LITERAL = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", re.S)
+_REFUSED = (
+    (re.compile(r"\binsert\s+(into|overwrite)\b", re.I), "inserts"),
+    (re.compile(r"\busing\s+\?", re.I), "script transforms"),
+    (re.compile(r"\b(reflect|try_reflect|java_method)\s*\(", re.I), "calls of the JVM"),
+)
+_TOKEN = re.compile(r"`[^`]*`|[\w$]+(?:\s*\.\s*(?:`[^`]*`|[\w$]+))*|[(),]|\S")
+_ENDS_FROM = {"where", "group", "having", "order", "limit", "window", "union", "except",
+              "intersect", "select", "qualify", "sort", "cluster", "distribute", "pivot"}
+
+
+def relations(sql: str) -> set[str]:
+    """Names that stand where a query names a relation, and names of common table expressions.
+
+    A name counts behind FROM, JOIN or TABLE, and behind a comma of a FROM list; a function
+    call, a sub-query, and FROM inside a function's brackets (extract, trim) do not.
+    """
+    tokens = [t.strip("`").lower() if t.startswith("`") and t.count("`") == 2 else t.lower()
+              for t in _TOKEN.findall(sql)]
+    found, stack, in_from, expect, call = set(), [], False, False, False
+    for i, token in enumerate(tokens):
+        after = tokens[i + 1] if i + 1 < len(tokens) else ""
+        if token == "(":
+            before = tokens[i - 1] if i else ""
+            stack.append((in_from, call))
+            call = bool(re.match(r"\w", before)) and before not in _ENDS_FROM | {
+                "from", "join", "in", "exists", "as", "on", "and", "or", "not", "lateral"}
+            in_from, expect = expect and not call, expect
+        elif token == ")":
+            in_from, call = stack.pop() if stack else (False, False)
+            expect = False
+        elif token in ("from", "join", "table") and not call:
+            in_from, expect = True, True
+        elif token == "," and in_from:
+            expect = True
+        elif token in _ENDS_FROM:
+            in_from = expect = False
+        elif expect and token not in ("lateral", "view", "outer", "only"):
+            if after != "(":
+                found.add(token)
+            expect = False
+    return found
+
+
+def check(sql: str, names) -> None:
+    """Raise PermissionError unless `sql` is one SELECT that reads the named frames only."""
+    bare = _LITERAL.sub(" ? ", sql).strip().rstrip(";")
+    word = _FIRST_WORD.match(bare)
+    if word is None or word.group(1).upper() not in ("SELECT", "WITH") or ";" in bare:
+        raise PermissionError("only one SELECT statement is allowed")
+    plain = bare.replace("`", "")
+    for pattern, what in _REFUSED:
+        if pattern.search(plain):
+            raise PermissionError(f"{what} are not allowed")
+    own = {m.lower() for m in re.findall(r"(?:\bwith|,)\s+`?(\w+)`?\s+(?:\([^()]*\)\s*)?as\s*\(", bare, re.I)}
+    unknown = relations(bare) - own - {n.lower() for n in names}
+    if unknown:
+        raise PermissionError(f"not among the given frames: {sorted(unknown)}")
 
 
 def query(spark: SparkSession, sql: str, frames: dict[str, DataFrame],
           params: dict | None = None) -> DataFrame:
     """Run one SELECT (or WITH ... SELECT) over frames, with bound parameters.
 
-    Anything else is refused, also an insert behind a WITH.  Values are bound
-    and never pasted into the text.
+    Anything else is refused: inserts, script transforms, calls of the JVM, and relations
+    that are not given (files and catalog tables).  Values are bound and never pasted into
+    the text.  The frames' names are views only while the statement is resolved.
     """
-    bare = _LITERAL.sub(" ", sql)
-    word = _FIRST_WORD.match(bare)
-    if word is None or word.group(1).upper() not in ("SELECT", "WITH") or _INSERT.search(bare):
-        raise PermissionError("only SELECT statements are allowed")
+    check(sql, frames)
     for name, frame in frames.items():
         frame.createOrReplaceTempView(name)
-    return spark.sql(sql.rstrip().rstrip(";"), args=params or {})
+    try:
+        return spark.sql(sql.rstrip().rstrip(";"), args=params or {})
+    finally:
+        for name in frames:
+            spark.catalog.dropTempView(name)

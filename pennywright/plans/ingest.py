@@ -47,7 +47,9 @@ def ingest_files(files: DataFrame, registry: DataFrame) -> Ingested:
         fresh.select("original_path", "file_id", "filename"), "original_path")
     lines = written(statement_text.to_lines(
         statement_text.with_format(texts), ["file_id", "bank_fmt"]))
-    formats = lines.select("file_id", "bank_fmt").distinct().join(fresh, "file_id")
+    # a file without a line that says anything is a statement without rows
+    formats = fresh.join(lines.select("file_id", "bank_fmt").distinct(), "file_id", "left")
+    formats = formats.withColumn("bank_fmt", F.coalesce("bank_fmt", F.lit("dcu")))
     parts = []
     for fmt in ("dcu", "boa", "chase"):
         about = formats.filter(F.col("bank_fmt") == fmt).select(

@@ -1,5 +1,8 @@
 """CSV statements: header spellings, encodings, normalised rows."""
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pennywright.functions import fixed_values as fv
@@ -27,15 +30,44 @@ def column_mapping(columns) -> dict[str, str]:
     return mapping
 
 
-def read_csv(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text under their header names; files split across tasks."""
+def read_csv(spark: SparkSession, path, encoding: str = "UTF-8",
+             multi_line: bool = True) -> DataFrame:
+    """All columns as text under their header names; files have one header.
+
+    Quotes in quoted values are doubled.  A quoted value may hold line breaks; without
+    `multi_line` it may not, and large files are split across tasks.
+    """
     return (
         spark.read.option("header", True).option("encoding", encoding)
+        .option("escape", '"').option("multiLine", multi_line)
         .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
         .csv(path)
     )
 
 
+def read_folder(spark: SparkSession, path, encoding: str = "UTF-8",
+                multi_line: bool = True) -> DataFrame:
+    """Transactions of CSV files with any headers, with original_path.
+
+    Files are grouped by their header line; each distinct header is one read with its own
+    column mapping.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    headers = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups = headers.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    parts = []
+    for group in sorted(groups, key=lambda g: g.header):  # the driver lists the files anyway
+        files = [unquote(f) for f in group.files]
+        rows = read_csv(spark, files, encoding, multi_line).withColumn(
+            "original_path", F.col("_metadata.file_path"))
+        parts.append(normalised(rows, ["original_path"]))
+    if not parts:
+        raise ValueError("no CSV file with a header")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_any_encoding(spark: SparkSession, path, header: str) -> DataFrame:
     """CSV files of unknown encoding, each UTF-8 or else Latin-1.
 
@@ -108,14 +140,15 @@ def export_csv(df: DataFrame, path: str, date_columns=tuple(fv.DATE_COLUMNS)) ->
     texts = {c: renormalise_date(F.col(c)) for c, t in df.dtypes
              if c in date_columns and t == "string"}
     (df.withColumns(texts) if texts else df).write.option("header", True).option(
-        "nullValue", "").option("emptyValue", "").csv(path)
+        "nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def import_csv(spark: SparkSession, path: str) -> DataFrame:
     """Typed columns by name: whole numbers, numbers, dates, repaired timestamps."""
     from pennywright.functions.dates import clean_timestamp
     from pennywright.operators.tables import coerce
-    df = coerce(spark.read.option("header", True).option("nullValue", "").csv(path))
+    df = coerce(spark.read.option("header", True).option("nullValue", "").option(
+        "escape", '"').option("multiLine", True).csv(path))
     return df.withColumns({
         **{c: F.col(c).try_cast("date") for c in df.columns if c in fv.DATE_COLUMNS},
         **{c: clean_timestamp(F.col(c)) for c in df.columns if c in fv.TIMESTAMP_COLUMNS},

@@ -3,6 +3,10 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pennywright.functions.money import MONEY, feed_type, position_values
+from pennywright.sources.csv_statements import read_csv
+
+#: Quantities and prices keep their fractions; only results are rounded to cents.
+SHARES = "decimal(18,8)"
 
 FEED_PAGE = """total_transactions long, transactions array<struct<
 transaction_id: string, date: string, name: string, merchant_name: string, amount: double,
@@ -46,9 +50,9 @@ def read_transactions(spark: SparkSession, path, whole_files: bool = True) -> Da
     return spark.read.schema(TRANSACTIONS).option("multiLine", whole_files).json(path)
 
 
-def read_turn_log(spark: SparkSession, path) -> DataFrame:
-    """One JSON file per turn, as the log writes them."""
-    return spark.read.schema(TURN_LOG).option("multiLine", True).json(path)
+def read_turn_log(spark: SparkSession, path, whole_files: bool = False) -> DataFrame:
+    """Turn records, one per line, or with `whole_files` one (indented) record per file."""
+    return spark.read.schema(TURN_LOG).option("multiLine", whole_files).json(path)
 
 
 def write_turn_log(turns: DataFrame, path: str) -> None:
@@ -67,15 +71,15 @@ def read_holdings_csv(spark: SparkSession, path, prices: DataFrame = None) -> Da
 
     A missing price is the average cost.  `prices` has ticker and price.
     """
-    df = spark.read.option("header", True).csv(path)
+    df = read_csv(spark, path)
     ticker = _either(df, "Symbol", "symbol")
     rows = df.select(
         ticker.alias("ticker"),
         F.coalesce(_either(df, "Name", "name"), ticker).alias("name"),
-        F.coalesce(_either(df, "Quantity", "quantity").try_cast(MONEY), F.lit(0)).cast(MONEY)
+        F.coalesce(_either(df, "Quantity", "quantity").try_cast(SHARES), F.lit(0)).cast(SHARES)
         .alias("quantity"),
-        F.coalesce(_either(df, "Average Cost", "average_buy_price").try_cast(MONEY), F.lit(0))
-        .cast(MONEY).alias("avg_cost"),
+        F.coalesce(_either(df, "Average Cost", "average_buy_price").try_cast(SHARES), F.lit(0))
+        .cast(SHARES).alias("avg_cost"),
     ).filter(F.col("ticker").isNotNull() & (F.col("quantity") != 0))
     return priced(rows, prices)
 
@@ -86,7 +90,7 @@ def priced(rows: DataFrame, prices: DataFrame | None) -> DataFrame:
     if prices is not None:
         rows = rows.join(prices.select("ticker", "price"), "ticker", "left")
         price = F.coalesce(F.nullif(F.col("price"), F.lit(0)), "avg_cost")
-    valued = rows.withColumn("current_price", price.cast(MONEY))
+    valued = rows.withColumn("current_price", price.cast(SHARES))
     return valued.withColumns(
         position_values(F.col("quantity"), F.col("avg_cost"), F.col("current_price"))
     ).select("ticker", "name", "quantity", "avg_cost", "current_price", "equity", "pct_change")
@@ -118,7 +122,7 @@ def read_positions_json(spark: SparkSession, path, prices: DataFrame = None) ->
            "$.symbol.name"), ticker)
 
     def number(path):
-        return F.coalesce(F.get_json_object("value", path).try_cast(MONEY), F.lit(0)).cast(MONEY)
+        return F.coalesce(F.get_json_object("value", path).try_cast(SHARES), F.lit(0)).cast(SHARES)
 
     rows = raw.select(
         ticker.alias("ticker"), name.alias("name"), number("$.units").alias("quantity"),
@@ -127,7 +131,7 @@ def read_positions_json(spark: SparkSession, path, prices: DataFrame = None) ->
     if prices is not None:
         rows = rows.join(prices.select("ticker", "price"), "ticker", "left").withColumn(
             "_price", F.coalesce(F.nullif(F.col("_price"), F.lit(0)), "price", F.lit(0)))
-    valued = rows.withColumn("current_price", F.col("_price").cast(MONEY))
+    valued = rows.withColumn("current_price", F.col("_price").cast(SHARES))
     return valued.withColumns(
         position_values(F.col("quantity"), F.col("avg_cost"), F.col("current_price"))
     ).select("ticker", "name", "quantity", "avg_cost", "current_price", "equity", "pct_change")

@@ -86,7 +86,7 @@ def test_hot_texts_give_the_same_rows(spark):
     rows = raw_rows(spark, texts)
     columns = ["raw_id", "merchant_name", "confidence_score", "enrichment_method"]
     plain = enrich.enrich_card(rows).select(*columns).orderBy("raw_id").collect()
-    salted = enrich.enrich_card(rows, hot_rows=10, salts=7).select(*columns).orderBy("raw_id")
+    salted = enrich.enrich_card(rows, parts=7).select(*columns).orderBy("raw_id")
     assert len(plain) == len(texts) and plain == salted.collect()
 
 
