@@ -136,9 +136,16 @@ def stock_context(spark, sf_dir):
     """Every part asked for as a ticker; two thirds of them are held."""
     asked = holdings(spark, sf_dir).select("ticker")
     held = positions(spark, sf_dir).filter(~F.col("ticker").endswith("7"))
+    sector = F.substring("ticker", -1, 1)
     info = holdings(spark, sf_dir).select(
-        F.upper("ticker").alias("ticker"), F.col("name").alias("company_name"))
-    return as_doubles(portfolio.context(asked, held, info))
+        F.upper("ticker").alias("ticker"), F.col("name").alias("company_name"),
+        F.concat(F.lit("sector "), sector).alias("industry"))
+    headlines = holdings(spark, sf_dir).select(
+        F.explode(F.array(F.upper("ticker"), F.concat(F.lit("sector "), sector))).alias("topic"),
+        F.concat(F.lit("about "), "name").alias("headline"), F.col("quantity").alias("place"))
+    macro = holdings(spark, sf_dir).agg(F.max("ticker").alias("last_ticker"))
+    found = as_doubles(portfolio.context(asked, held, info, headlines, macro))
+    return found.withColumns({c: F.array_join(c, "; ") for c in ("company_news", "industry_news")})
 
 
 add("j09_stock_context", stock_context, f"""
@@ -146,8 +153,14 @@ WITH {POSITIONS_SQL}, held AS (SELECT * FROM positions WHERE ticker NOT LIKE '%7
 SELECT upper(a.ticker) AS ticker, h.ticker IS NOT NULL AS held,
   CAST(h.quantity AS DOUBLE) AS quantity, CAST(h.avg_cost AS DOUBLE) AS avg_cost,
   CAST(h.current_price AS DOUBLE) AS current_price, CAST(h.equity AS DOUBLE) AS equity,
-  CAST(h.pct_change AS DOUBLE) AS pct_change, a.name AS company_name
-FROM holdings a LEFT JOIN held h ON a.ticker = h.ticker""", "holdings")
+  CAST(h.pct_change AS DOUBLE) AS pct_change, a.name AS company_name,
+  'sector ' || right(a.ticker, 1) AS industry, 'about ' || a.name AS company_news,
+  n.news AS industry_news, (SELECT max(ticker) FROM holdings) AS last_ticker
+FROM holdings a LEFT JOIN held h ON a.ticker = h.ticker JOIN (
+  SELECT k, string_agg('about ' || name, '; ' ORDER BY n) AS news FROM (
+    SELECT right(ticker, 1) AS k, name, row_number() OVER (
+      PARTITION BY right(ticker, 1) ORDER BY quantity, 'about ' || name) AS n FROM holdings)
+  WHERE n <= 3 GROUP BY k) n ON n.k = right(a.ticker, 1)""", "holdings")
 
 # ------------------------------------------------------------ windows over series
 SERIES = """series AS (SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day,

@@ -5,9 +5,8 @@ from pyspark.sql import functions as F
 from checks.catalog import add
 from checks.ledger_queries import ROW, money_out
 from checks.views import card_feed, ledger, loan, statement_files, table
-from pennywright.functions.money import dollars
 from pennywright.operators import enrich, joins, pairing, tables, validate
-from pennywright.plans import bank, card
+from pennywright.plans import bank, card, ingest
 from pennywright.sources import scratch
 
 
@@ -94,7 +93,7 @@ def pairs(spark, sf_dir):
     """Ledger rows whose keys repeat (day and description cut down), two stores."""
     rows = ledger(spark, sf_dir).select(
         "id", "statement_id", F.trunc("date", "YEAR").alias("date"),
-        F.substring("description", 1, 3).alias("description"),
+        F.when(F.col("id") % 13 != 0, F.substring("description", 1, 3)).alias("description"),
         (F.col("id") % 5).cast("decimal(18,2)").alias("amount"))
     right = rows.filter("id % 7 <> 0").withColumn("statement_id", F.col("statement_id") + 1000)
     right = right.withColumn("id", F.col("id") + 1_000_000)
@@ -105,15 +104,16 @@ def pairs(spark, sf_dir):
 
 add("j02_pair_in_order", pairs, """
 WITH rows AS (SELECT id, statement_id, date_trunc('year', date) AS date,
-    description[1:3] AS description, id % 5 AS amount FROM ledger),
+    CASE WHEN id % 13 <> 0 THEN description[1:3] END AS description, id % 5 AS amount FROM ledger),
 l AS (SELECT id, statement_id, date, description, amount, row_number() OVER
     (PARTITION BY statement_id, date, description, amount ORDER BY id) AS n FROM rows
   WHERE statement_id % 10 <> 3),
 r AS (SELECT id + 1000000 AS id, statement_id, date, description, amount, row_number() OVER
     (PARTITION BY statement_id, date, description, amount ORDER BY id) AS n FROM rows
   WHERE id % 7 <> 0)
-SELECT l.id AS left_id, r.id AS right_id FROM l LEFT JOIN r
-  USING (statement_id, date, description, amount, n)""", "ledger")
+SELECT l.id AS left_id, r.id AS right_id FROM l LEFT JOIN r ON l.statement_id = r.statement_id
+  AND l.date = r.date AND l.description IS NOT DISTINCT FROM r.description
+  AND l.amount = r.amount AND l.n = r.n""", "ledger")
 
 
 # ------------------------------------------------------------ enrichment runs
@@ -121,16 +121,25 @@ def enriched_before(spark, sf_dir):
     return ledger(spark, sf_dir).filter("id % 3 = 0").select("raw_id", "confidence_score")
 
 
+def some_without_id(spark, sf_dir):
+    """The ledger, every eleventh row that is not yet enriched without its id."""
+    done = (F.col("id") % 3 == 0) & (F.col("confidence_score") >= 0.5)
+    return ledger(spark, sf_dir).withColumn(
+        "id", F.when((F.col("id") % 11 != 5) | done, F.col("id")))
+
+
 add("j03_not_yet_enriched",
     lambda s, d: joins.not_yet_enriched(ledger(s, d), enriched_before(s, d), 0.5).select("id"),
     "SELECT id FROM ledger WHERE NOT (id % 3 = 0 AND confidence_score >= 0.5)", "ledger")
 
 add("a24_run_stats",
-    lambda s, d: enrich.run_stats(ledger(s, d), enriched_before(s, d), 0.5), """
+    lambda s, d: enrich.run_stats(some_without_id(s, d), enriched_before(s, d), 0.5), """
 SELECT COUNT(*) AS total_raw,
-  COUNT(CASE WHEN NOT (id % 3 = 0 AND confidence_score >= 0.5) THEN 1 END) AS processed,
-  COUNT(CASE WHEN id % 3 = 0 AND confidence_score >= 0.5 THEN 1 END) AS skipped FROM ledger""",
-    "ledger")
+  COUNT(CASE WHEN id % 11 <> 5 AND NOT (id % 3 = 0 AND confidence_score >= 0.5) THEN 1 END)
+    AS processed,
+  COUNT(CASE WHEN id % 3 = 0 AND confidence_score >= 0.5 THEN 1 END) AS skipped,
+  COUNT(CASE WHEN id % 11 = 5 AND NOT (id % 3 = 0 AND confidence_score >= 0.5) THEN 1 END)
+    AS errors FROM ledger""", "ledger")
 
 add("p19_enrichment_input",
     lambda s, d: enrich.chosen_input(ledger(s, d), 7, "savings").select("id", "description"),
@@ -183,16 +192,8 @@ SELECT id, filename, bank_name, DATE '2001-07-01' AS statement_period_start,
   total_credits FROM t""", "ledger")
 
 
-def rows_per_bank(spark, sf_dir):
-    """Rows meet their statement; counted per statement first, so little is joined."""
-    counted = rows(spark, sf_dir).groupBy(F.col("statement_id").alias("id")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
-    return counted.join(statements(spark, sf_dir), "id").groupBy("bank_name").agg(
-        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_statements"),
-        dollars(F.sum("amount")).alias("amount"))
-
-
-add("j05_rows_with_statement", rows_per_bank, f"""
+add("j05_rows_with_statement",
+    lambda s, d: tables.rows_per_bank(statements(s, d), rows(s, d)), f"""
 WITH {STATEMENTS} SELECT s.bank_name, COUNT(*) AS n_rows,
   COUNT(DISTINCT s.id) AS n_statements, CAST(SUM(r.amount) AS DOUBLE) AS amount
 FROM rows r JOIN statements s ON s.id = r.statement_id GROUP BY s.bank_name""", "ledger")
@@ -258,20 +259,8 @@ add("s25_clear_table", emptied, """
 SELECT 'before' AS table_name, COUNT(*) AS row_count FROM orders UNION ALL SELECT 'after', 0""")
 
 
-def ingest_report(spark, sf_dir):
-    """Rows and sum by account type, statements by bank, date range: one frame."""
-    accounts = rows(spark, sf_dir).groupBy("account_type").agg(
-        F.count(F.lit(1)).alias("n"), dollars(F.sum("amount")).alias("total"),
-        F.min("date").alias("earliest"), F.max("date").alias("latest")).select(
-        F.lit("account").alias("section"), F.col("account_type").alias("name"), "n", "total",
-        "earliest", "latest")
-    banks = statements(spark, sf_dir).groupBy("bank_name").agg(
-        F.count(F.lit(1)).alias("n")).select(
-        F.lit("bank").alias("section"), F.col("bank_name").alias("name"), "n")
-    return accounts.unionByName(banks, allowMissingColumns=True)
-
-
-add("a21_ingest_report", ingest_report, f"""
+add("a21_ingest_report",
+    lambda s, d: ingest.report(statements(s, d), rows(s, d)), f"""
 WITH {STATEMENTS} SELECT 'account' AS section, account_type AS name, COUNT(*) AS n,
   CAST(SUM(amount) AS DOUBLE) AS total, MIN(date) AS earliest, MAX(date) AS latest
 FROM rows GROUP BY account_type

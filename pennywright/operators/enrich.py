@@ -168,14 +168,19 @@ def pending_input(raw: DataFrame, enriched: DataFrame = None, reprocess: bool =
 
 
 def run_stats(raw: DataFrame, enriched: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """One row: raw rows, rows a run would process, rows it would skip."""
+    """One row: raw rows, rows a run would process, skip, and cannot process (errors).
+
+    A row without an id cannot be keyed in the enriched table; it is an error, as no other
+    input makes enrichment fail.
+    """
     done = enriched.filter(F.col("confidence_score") >= threshold).select(
         F.col("raw_id").alias("id"), F.lit(1).alias("_done")
     )
     return raw.select("id").join(done, "id", "left").agg(
         F.count(F.lit(1)).alias("total_raw"),
-        F.count(F.when(F.col("_done").isNull(), 1)).alias("processed"),
+        F.count(F.when(F.col("_done").isNull() & F.col("id").isNotNull(), 1)).alias("processed"),
         F.count("_done").alias("skipped"),
+        F.count(F.when(F.col("id").isNull(), 1)).alias("errors"),
     )
 
 

@@ -7,6 +7,7 @@ snapshot, written next to the old one and never over the path being read.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pennywright.functions import fixed_values as fv
+from pennywright.functions.money import dollars
 from pennywright.operators.joins import compute_once
 from pennywright.operators.validate import raw_problems
 from pennywright.operators.windows import dense_ids
@@ -123,6 +124,18 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("files"))
 
 
+def rows_per_bank(statements: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows, statements with rows, and amount per bank; rows without a statement do not count.
+
+    Rows are counted per statement before the join, so little is joined.
+    """
+    counted = rows.groupBy(F.col("statement_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    return counted.join(statements.select("id", "bank_name"), "id").groupBy("bank_name").agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_statements"),
+        dollars(F.sum("amount")).alias("amount"))
+
+
 def statement_totals(statements: DataFrame, rows: DataFrame) -> DataFrame:
     """Statements with their count, debit and credit totals (0 without rows)."""
     debit = F.when(F.col("transaction_type") == "DEBIT", F.col("amount"))

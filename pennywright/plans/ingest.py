@@ -4,6 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from pennywright.functions.money import dollars
 from pennywright.operators import statements as st, tables
 from pennywright.sources import statement_text
 from pennywright.sources.scratch import written
@@ -70,3 +71,15 @@ def ingest_files(files: DataFrame, registry: DataFrame) -> Ingested:
 def dry_run(files: DataFrame, registry: DataFrame) -> DataFrame:
     """Files by outcome, without parsing or writing anything."""
     return tables.outcome_counts(tables.file_outcomes(registry, files.drop("content")))
+
+
+def report(statements: DataFrame, rows: DataFrame) -> DataFrame:
+    """After an import: rows, sum and date range by account type; statements by bank."""
+    accounts = rows.groupBy("account_type").agg(
+        F.count(F.lit(1)).alias("n"), dollars(F.sum("amount")).alias("total"),
+        F.min("date").alias("earliest"), F.max("date").alias("latest")).select(
+        F.lit("account").alias("section"), F.col("account_type").alias("name"), "n", "total",
+        "earliest", "latest")
+    banks = statements.groupBy("bank_name").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("bank").alias("section"), F.col("bank_name").alias("name"), "n")
+    return accounts.unionByName(banks, allowMissingColumns=True)

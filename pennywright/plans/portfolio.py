@@ -78,10 +78,24 @@ def leaders(positions: DataFrame, top_n: int = 5) -> DataFrame:
     )
 
 
+def top_headlines(headlines: DataFrame, news_count: int) -> DataFrame:
+    """topic and its first `news_count` headlines by place, as one short list per topic."""
+    by = Window.partitionBy("topic").orderBy("place", "headline")
+    best = headlines.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= news_count)
+    return best.groupBy("topic").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_n", "headline"))), lambda x: x["headline"]
+    ).alias("news"))
+
+
 @named("portfolio.context")
 def context(requests: DataFrame, positions: DataFrame, info: DataFrame = None,
-            headlines: DataFrame = None) -> DataFrame:
-    """Requested tickers with held flag, position and landed company data."""
+            headlines: DataFrame = None, macro: DataFrame = None,
+            news_count: int = 3) -> DataFrame:
+    """Requested tickers with held flag, position and landed company data, a row per ticker.
+
+    `info` has ticker, company_name, industry; `headlines` topic (a ticker or an
+    industry), headline and place; `macro` one row of indicators, which every row repeats.
+    """
     wanted = requests.select(F.upper(F.trim("ticker")).alias("ticker")).distinct()
     mine = positions.withColumn("ticker", F.upper("ticker"))
     result = wanted.join(
@@ -89,7 +103,17 @@ def context(requests: DataFrame, positions: DataFrame, info: DataFrame = None,
                     "current_price", "equity", "pct_change"),
         "ticker", "left",
     ).withColumn("held", F.coalesce("held", F.lit(False)))
-    for extra in (info, headlines):
-        if extra is not None:
-            result = result.join(extra, "ticker", "left")
+    if info is not None:
+        result = result.join(info, "ticker", "left")
+    if headlines is not None:
+        news = top_headlines(headlines, news_count)
+        none = F.array().cast("array<string>")
+        for key, name in (("ticker", "company_news"), ("industry", "industry_news")):
+            if key in result.columns:
+                about = news.select(F.col("topic").alias(key), F.col("news").alias(name))
+                result = result.join(about, key, "left").withColumn(
+                    name, F.coalesce(name, none))
+    if macro is not None:
+        row = macro.limit(1).select(F.struct(*macro.columns)).scalar()
+        result = result.withColumn("_macro", row).select("*", "_macro.*").drop("_macro")
     return result

@@ -94,11 +94,28 @@ def test_incremental_runs(spark):
     raw = raw_rows(spark, [t for t, _, _ in SAMPLE])
     done = enrich.enrich_card(raw)
     stats = enrich.run_stats(raw, done).first()
-    assert (stats.total_raw, stats.processed, stats.skipped) == (11, 0, 11)
+    assert (stats.total_raw, stats.processed, stats.skipped, stats.errors) == (11, 0, 11, 0)
     assert enrich.pending_input(raw, done, reprocess=True).count() == 11
     assert enrich.pending_input(raw, done, threshold=0.5).count() == 2
 
 
+def test_one_run_enriches_what_is_pending(spark):
+    from pyspark.sql import functions as F
+
+    from pennywright.plans import enrichment
+    raw = raw_rows(spark, [t for t, _, _ in SAMPLE])
+    empty = enrich.enrich_card(raw).limit(0)
+    first = enrichment.card(raw.filter("id % 2 = 0"), empty)
+    second = enrichment.card(raw, first.table)
+    stats = second.stats.first()
+    assert (stats.processed, stats.skipped) == (raw.filter("id % 2 <> 0").count(),
+                                                raw.filter("id % 2 = 0").count())
+    want = enrich.enrich_card(raw).orderBy("raw_id").select("raw_id", "merchant_name")
+    assert second.table.orderBy("raw_id").select("raw_id", "merchant_name").collect() == want.collect()
+    lost = enrichment.card(raw.withColumn("id", F.when(F.col("id") > 1, F.col("id"))), empty)
+    assert lost.stats.first().errors == raw.filter("id <= 1").count()
+
+
 keyed_rows = st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from([None, 1, 2, 3])),
                       min_size=1, max_size=40)
 
