@@ -252,14 +252,20 @@ def links_of_block(sets: list[np.ndarray], num: int, den: int) -> list[int]:
 # ---- the join on Spark ------------------------------------------------------------------
 
 
-def _groups(batches, keys: list[str]):
-    """Runs of rows with equal keys, as lists of column values, from sorted Arrow batches."""
+def _groups(batches, keys: list[str], unique: str):
+    """Runs of rows with equal keys, as lists of column values, from sorted Arrow batches.
+
+    Of consecutive rows with one value of `unique` in a run the first counts.
+    """
     held, rows = None, []
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
         at = [batch.schema.get_field_index(k) for k in keys]
+        one = batch.schema.get_field_index(unique)
         for values in zip(*columns):
             key = tuple(values[i] for i in at)
+            if rows and key == held and rows[-1][one] == values[one]:
+                continue
             if key != held and rows:
                 yield held, rows
                 rows = []
@@ -343,7 +349,7 @@ def sets_of(texts: DataFrame, n: int) -> DataFrame:
 def _links_in_blocks(blocks: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) inside each (team, block) of rows rep, grams."""
     def run(batches):
-        for _, rows in _groups(batches, ["team", "block"]):
+        for _, rows in _groups(batches, ["team", "block"], "rep"):
             if len(rows) > 1:
                 sets = [np.frombuffer(r[3], np.uint64) for r in rows]
                 found = links_of_block(sets, num, den)
@@ -352,7 +358,7 @@ def _links_in_blocks(blocks: DataFrame, num: int, den: int) -> DataFrame:
                     yield _edges(edges)
 
     dealt = blocks.select("team", "block", "rep", "grams").repartition(
-        "team", "block").sortWithinPartitions("team", "block")
+        "team", "block").sortWithinPartitions("team", "block", "rep")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -403,6 +409,8 @@ def _links_across(teams: DataFrame, part: DataFrame, num: int, den: int) -> Data
                 for values in zip(*[c.to_pylist() for c in batch.columns]):
                     key = values[:3] + (values[6],)
                     full = values[6] == 1 and size >= 8 * BLOCK
+                    if rows and key == held and rows[-1][3] == values[3]:
+                        continue  # a repeated row
                     if rows and (key != held or full):
                         yield held, rows
                         rows, size = [], 0
@@ -438,11 +446,12 @@ def join_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"),
         F.first("short").alias("short"))
     classes = written(classes, "join-classes")
-    # neighbours in a group of equal parts are an edge; the window only looks one row back
-    order = Window.partitionBy("sig").orderBy("short")
-    chained = signature_rows(docs, n, num, den).withColumn(
-        "a", F.lag("short").over(order)).filter("a <> short")
-    teams = components(chained.select("a", F.col("short").alias("b")))
+    # a group of equal parts is a star around its least member, which the window carries on
+    order = Window.partitionBy("sig").orderBy("short").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    stars = signature_rows(docs, n, num, den).withColumn(
+        "a", F.first("short").over(order)).filter("a <> short")
+    teams = components(stars.select("a", F.col("short").alias("b")))
     teams = teams.select(F.col("node").alias("short"), F.col("component").alias("team"))
     members = teams.join(classes, "short").filter("rep IS NOT NULL").select("team", "rep", "size")
     blocks = members.groupBy("team").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
@@ -452,8 +461,7 @@ def join_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     # rows of one doc_id may differ in text: the one of the class has its number of n-grams
     sets = sets_of(texts.join(small(members), "rep").select(
         "team", "blocks", "rep", "size", "text"), n)
-    sets = written(sets.filter(F.length("grams") == F.col("size") * 8)
-                   .dropDuplicates(["rep"]), "join-sets")
+    sets = written(sets.filter(F.length("grams") == F.col("size") * 8), "join-sets")
     block = F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int")
     inside = written(_links_in_blocks(sets.withColumn("block", block), num, den), "join-links")
     large = sets.filter("blocks > 1").select("team", "blocks", "rep", "size", "grams")
