@@ -248,12 +248,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(keyed: DataFrame, width: int, k: int) -> DataFrame:
-    """anchor, __sd_key, again: distinct anchors of each text; again: it may repeat there."""
+    """anchor, __sd_key, again: distinct anchors of each text; again: it may repeat there.
+
+    Copies of a text in one batch of rows give their anchors once.
+    """
     def run(batches):
         for batch in batches:
-            out = [[], [], []]
+            out, seen = [[], [], []], set()
             for key, text in zip(batch.column("__sd_key").to_pylist(),
                                  batch.column("__sd_text").to_pylist()):
+                if key in seen:
+                    continue
+                seen.add(key)
                 anchors, _, _, own = contexts_of(text.encode(), width, k)
                 if not len(anchors):
                     continue
@@ -388,15 +394,14 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K, hot: int = HOT,
     names = written(keyed.select("__sd_id", "__sd_key",
                                  F.octet_length("__sd_text").alias("size")), "repeats-texts")
     first = names.groupBy("__sd_key").agg(F.min("__sd_id").alias("first"))
-    anchors = _anchor_rows(keyed, width, k).groupBy("anchor", "__sd_key").agg(
-        F.max("again").alias("again")).repartition("anchor")
+    anchors = written(_anchor_rows(keyed, width, k), "repeats-all-anchors")
     common = anchors.groupBy("anchor").agg(
-        # counts a column, so that both uses of the exchange are alike and it runs once
-        F.count("__sd_key").alias("texts"), F.max("again").alias("again")
-    ).filter("texts > 1 OR again").select("anchor", (F.col("texts") > hot).alias("hot"))
+        (F.min("__sd_key") < F.max("__sd_key")).alias("common"), F.max("again").alias("again"),
+        (F.count(F.lit(1)) > hot).alias("hot"),
+    ).filter("common OR again").select("anchor", "hot")
     kept = anchors.select("anchor", "__sd_key").join(common, "anchor").join(first, "__sd_key")
     kept = kept.groupBy(F.col("first").alias("__sd_id"), "__sd_key").agg(
-        F.collect_list(F.struct("anchor", "hot")).alias("kept"))  # at most a text's length
+        F.collect_set(F.struct("anchor", "hot")).alias("kept"))  # at most a text's length
     kept = written(kept, "repeats-anchors")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed.repartition(parts, "__sd_id", "__sd_key")
