@@ -369,11 +369,14 @@ def _links_across(teams: DataFrame, part: DataFrame, num: int, den: int) -> Data
     largest label of their team are the query side, cut into blocks by size bin and
     hash; every document of the team goes to the query blocks whose sizes it can link to.
     """
-    labelled = teams.join(part, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    labelled = written(labelled, "join-large-teams")
-    sums = labelled.groupBy("team", "label").agg(F.sum("size").alias("n"))
+    names = teams.select("team", "rep", "size").join(part, "rep", "left").withColumn(
+        "label", F.coalesce("label", "rep"))
+    sums = names.groupBy("team", "label").agg(F.sum("size").alias("n"))
     main = sums.groupBy("team").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    rows = labelled.join(main, "team").withColumn("bin", F.floor(
+    # labels are narrow: sets are not shuffled for them where they fit a broadcast
+    names = written(names.join(main, "team").select("team", "rep", "label", "main").distinct(),
+                    "join-labels")
+    rows = teams.join(small(names), ["team", "rep"]).withColumn("bin", F.floor(
         F.log("size") / F.log(F.lit(den / num))).cast("int"))
     asking = rows.filter("label <> main")
     rooms = asking.groupBy("team", "bin").agg(
@@ -381,8 +384,11 @@ def _links_across(teams: DataFrame, part: DataFrame, num: int, den: int) -> Data
     room = F.pmod(F.xxhash64("rep"), F.col("rooms")).cast("int")
     left = asking.join(rooms, ["team", "bin"]).select(
         "team", "bin", room.alias("room"), F.lit(0).alias("side"), "rep", "label", "grams")
-    near = rows.select("team", "rep", "label", "grams", F.explode(F.array(
-        F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    # of two on the query side, the one in the lower bin goes to the other's
+    at = F.col("bin")
+    bins = F.when(F.col("label") != F.col("main"), F.array(at, at + 1)).otherwise(
+        F.array(at - 1, at, at + 1))
+    near = rows.select("team", "rep", "label", "grams", F.explode(bins).alias("bin"))
     right = near.join(rooms, ["team", "bin"]).select(
         "team", "bin", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("room"),
         F.lit(1).alias("side"), "rep", "label", "grams")
