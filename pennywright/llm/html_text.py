@@ -3,7 +3,9 @@
 A tree builder turns tags into a tree: tags that HTML implies are added (a new paragraph, list
 item, row, cell or option ends the open one; blocks end paragraphs; void elements have no
 content; what is still open at the end is closed).  Elements that a browser does not show are
-skipped: head, scripts, styles, templates, `hidden`, `display:none`, `visibility:hidden`.
+skipped: head, scripts, styles, templates, `hidden`, `display:none`, `visibility:hidden`, and
+definitions and descriptions inside svg and math.  HTML tags end svg and math, save in a
+foreignObject.  `<![...>` is a comment, or text where it is CDATA inside svg and math.
 Rendering keeps all visible text: blocks stand on lines of their own, paragraphs, headings and
 lists are set off by a blank line, list items carry a dash or their number and are indented by
 depth, cells of a table are aligned in columns, preformatted text keeps its white space.
@@ -22,8 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head title script style template noscript iframe object svg math canvas audio "
-             "video select datalist".split())
+HIDDEN = set("head title script style template noscript iframe object canvas audio video "
+             "datalist".split())
+FOREIGN = {"svg", "math"}
+#: Elements of svg and math that are not shown, and those on lines of their own.
+FOREIGN_HIDDEN = set("defs desc metadata symbol clippath mask pattern marker annotation "
+                     "annotation-xml".split())
+FOREIGN_LINES = {"text", "foreignobject"}
+#: Start tags that end svg and math.
+BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 "
+               "head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike "
+               "sub sup table tt u ul var".split())
+#: Elements inside which HTML goes on.
+HTML_AGAIN = set("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt "
             "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
             "legend li main menu nav ol optgroup option p pre section summary table tbody "
@@ -44,7 +57,7 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
-SCOPE = {"td", "th", "table", "html", "body", "button", "caption"}
+SCOPE = {"td", "th", "table", "html", "body", "button", "caption", "select", "foreignobject"}
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -68,10 +81,30 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.foreign = 0  # open elements svg and math
 
     def _end_to(self, depth: int) -> None:
+        self.foreign -= sum(node.tag in FOREIGN for node in self.open[depth:])
         del self.open[depth:]
 
+    def _in_foreign(self) -> bool:
+        """Whether the innermost of svg, math and what leads back to HTML is svg or math."""
+        if self.foreign:
+            for node in reversed(self.open):
+                if node.tag in FOREIGN or node.tag in HTML_AGAIN:
+                    return node.tag in FOREIGN
+        return False
+
+    def parse_html_declaration(self, i):
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        if self.rawdata.startswith("<![CDATA[", i) and self.foreign and (
+                self._in_foreign() or self.open[-1].tag in HTML_AGAIN):
+            end = self.rawdata.find("]]>", i + 9)
+            self.handle_data(self.rawdata[i + 9: end if end >= 0 else None])
+            return end + 3 if end >= 0 else len(self.rawdata)
+        return self.parse_bogus_comment(i)
+
     def _end_nearest(self, tags, barrier) -> None:
         for depth in range(len(self.open) - 1, 0, -1):
             tag = self.open[depth].tag
@@ -82,6 +115,8 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
+        while tag in BREAKOUT and self._in_foreign():
+            self._end_nearest(FOREIGN, ())
         if tag in IMPLIED:
             ends, barrier = IMPLIED[tag]
             before = -1
@@ -94,12 +129,21 @@ class TreeBuilder(HTMLParser):
                 and tag not in VOID:
             self._end_nearest({"head"}, set())
         node = Node(tag, {k: v or "" for k, v in attrs})
+        if self.foreign and self._in_foreign():
+            if tag in FOREIGN_HIDDEN:
+                node.attrs["hidden"] = ""
+            elif tag in FOREIGN_LINES:
+                node.attrs["#line"] = ""
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.foreign += tag in FOREIGN
 
     def handle_startendtag(self, tag, attrs):
+        closed = tag in FOREIGN or (tag not in BREAKOUT and self._in_foreign())
         self.handle_starttag(tag, attrs)
+        if closed and self.open[-1].tag == tag:  # elsewhere the slash means nothing
+            self._end_to(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag == "br":  # a stray end tag of a line break is one
@@ -123,11 +167,8 @@ class TreeBuilder(HTMLParser):
 
 def tree_of(page: str) -> Node:
     builder = TreeBuilder()
-    try:
-        builder.feed(page)
-        builder.close()
-    except AssertionError:  # the tokenizer's own check on malformed declarations
-        pass
+    builder.feed(page)
+    builder.close()
     return builder.root
 
 
@@ -246,7 +287,7 @@ def _enter(node: Node, flow: Flow) -> None:
     tag = node.tag
     if tag in SPACED and not (tag in LISTS and flow.prefix):
         flow.space()
-    elif tag in BLOCK:
+    elif tag in BLOCK or "#line" in node.attrs:
         flow.line()
     if tag == "li":
         ordered = node.attrs.get("#in") == "ol"
@@ -264,7 +305,7 @@ def _leave(node: Node, flow: Flow) -> None:
         flow.line(flow.text)
     if tag in SPACED and not (tag in LISTS and flow.prefix):
         flow.space()
-    elif tag in BLOCK or tag in ("#cell", "#root"):
+    elif tag in BLOCK or tag in ("#cell", "#root") or "#line" in node.attrs:
         flow.line()
     if tag in ("li", "dd", "blockquote") and flow.prefix:
         flow.prefix.pop()

@@ -25,6 +25,24 @@ def test_rendering(page, text):
     assert html_text.text_of(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<p>a</p><![ endif]><p>b</p>", "a\n\nb"),
+    ("<p>a</p><![foo]><p>b</p>", "a\n\nb"),
+    ("<p>a</p><![-- x --]><p>b</p>", "a\n\nb"),
+    ("<p>a</p><![if foo><p>b</p><![endif]><![><p>c</p>", "a\n\nb\n\nc"),
+    ("a<![", "a<!["),
+    ("a<svg><text>x<![CDATA[<y>]]></text><text>z</text></svg>b", "a\nx<y>\nz\nb"),
+    ("<p>a <svg><title>no</title><defs><text>no</text></defs><desc/><path d='M0'/></svg>b</p>c", "a b\n\nc"),
+    ("<svg><defs><p>shown</p>", "shown"),
+    ("<svg><foreignObject><p>in</p></foreignObject><desc>no</desc></svg>out", "in\n\nout"),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> holds", "so x=1 holds"),
+    ("<p>pick <select><option>one<option selected>two</select> now", "pick\none\ntwo\nnow"),
+    ("<select><optgroup><option>one</select><p>behind", "one\n\nbehind"),
+])
+def test_nothing_behind_odd_markup_is_lost(page, text):
+    assert html_text.text_of(page) == text
+
+
 def test_pages(spark):
     rows = [(1, "<p>x", 9), (1, "<p>x", 9), (None, None, None), (2, "", 3)]
     df = spark.createDataFrame(rows, "page_id long, html string, text long")
