@@ -8,9 +8,10 @@ kept above a support and a confidence and dropped if a part of their tokens does
 A URL is blocked if some rule's tokens are all among its own.  Rules are looked up by an
 inverted index that files each rule under its rarest token.
 
-Scale: mining is Spark's distributed FP-growth over the labelled pages.  At most MAX_RULES
-rules, the best first, go to the executors; the bound is a parameter of the model.  Judging
-is one pass over the pages without a shuffle.
+Scale: mining is Spark's distributed FP-growth over the labelled pages, and rules are pruned as
+a frame; every rule that is left counts.  Up to INDEX_RULES of them go to the executors
+as an index, and judging is one pass over the pages without a shuffle.  More are joined
+to the tokens of the distinct token lists, and what they hit is joined back to the pages.
 
 Defined results: a null URL, or one without `://`, has empty host and path and no tokens, so no
 rule fits and it is allowed.  Repeated rows are judged each; a null page_id has no label;
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pennywright.llm.shared import lower_ascii
+from pennywright.llm.shared import lower_ascii, small, written
 
 #: The rules of the query contract, in its order.
 FIXED_RULES = (
@@ -37,7 +38,7 @@ MIN_SUPPORT = 0.0005  # share of the labelled pages
 MIN_PAGES = 5  # labelled pages that a rule must hold for, at least
 MIN_CONFIDENCE = 0.5
 MAX_TOKENS = 4  # of a rule
-MAX_RULES = 20_000
+INDEX_RULES = 20_000  # beyond, rules are joined instead of sent as an index
 BAD = "label=bad"
 
 
@@ -106,25 +107,38 @@ class MinedRule:
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT,
-         min_confidence: float = MIN_CONFIDENCE, max_rules: int = MAX_RULES) -> list[MinedRule]:
-    """Rules "tokens -> bad" from rows (tokens, bad)."""
+         min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Rules "tokens -> bad" from rows (tokens, bad): tokens (sorted), confidence, pages."""
     from pyspark.ml.fpm import FPGrowth
 
     total = labelled.count()
     if not total:
-        return []
+        return labelled.sparkSession.createDataFrame(
+            [], "tokens array<string>, confidence double, pages long")
     baskets = labelled.select(F.when(
         F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     support = max(min_support, MIN_PAGES / total)
-    model = FPGrowth(itemsCol="items", minSupport=min(support, 1.0),
-                     minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter(
-        (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= MAX_TOKENS)
-    ).orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"),
-              F.array_join(F.array_sort("antecedent"), " ")).limit(max_rules).collect()
-    found = [MinedRule(frozenset(r.antecedent), r.confidence, round(r.support * total))
-             for r in rules]
-    return pruned(found)
+    model = FPGrowth(itemsCol="items", minSupport=min(support, 1.0)).fit(baskets)
+    # mined once: the model's frame is made anew each time it is read
+    found = written(model.freqItemsets.select(
+        F.array_sort(F.array_remove("items", BAD)).alias("tokens"),
+        F.array_contains("items", BAD).alias("bad"), "freq",
+    ).filter((F.size("tokens") > 0) & (F.size("tokens") <= MAX_TOKENS)), "url-itemsets")
+    rules = found.filter("bad").select("tokens", F.col("freq").alias("pages")).join(
+        found.filter("NOT bad").select("tokens", "freq"), "tokens")
+    rules = rules.select("tokens", (F.col("pages") / F.col("freq")).alias("confidence"), "pages")
+    return pruned_frame(written(rules.filter(F.col("confidence") >= min_confidence), "url-rules"))
+
+
+def pruned_frame(rules: DataFrame) -> DataFrame:
+    """`pruned` of a written frame of rules."""
+    parts = F.when(F.size("tokens") > 1, F.expr(
+        "transform(sequence(1, shiftleft(1, size(tokens)) - 2), "
+        "m -> filter(tokens, (t, i) -> (shiftright(m, i) & 1) = 1))"))
+    parts = rules.select("tokens", "confidence", F.explode(parts).alias("part"))
+    best = small(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("best")))
+    gone = parts.join(best, "part").filter("best >= confidence").select("tokens").distinct()
+    return rules.join(gone, "tokens", "left_anti")
 
 
 def pruned(rules: list[MinedRule]) -> list[MinedRule]:
@@ -156,15 +170,9 @@ def index_of(rules: list[MinedRule]) -> dict[str, list[frozenset]]:
     return index
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=FIXED_RULES) -> DataFrame:
-    """page_id, host, path, rule and verdict of every row of `pages`.
-
-    A page's label is that of the document with its id; bad is quality 0 or toxic 1.
-    """
-    urls = parsed(pages)
-    bad = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("page_id")).agg(
-        F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad"))
-    index = index_of(mine(urls.join(bad, "page_id").select("tokens", "bad")))
+def _hit_by_index(urls: DataFrame, mined: DataFrame) -> DataFrame:
+    """Add column mined: whether a rule's tokens are all among those of the row."""
+    index = index_of([MinedRule(frozenset(r.tokens), r.confidence, r.pages) for r in mined.collect()])
 
     @F.pandas_udf("boolean")
     def hit(tokens: pd.Series) -> pd.Series:
@@ -174,8 +182,34 @@ def judge(pages: DataFrame, labels: DataFrame, rules=FIXED_RULES) -> DataFrame:
             out.append(any(rule <= own for t in own for rule in index.get(t, ())))
         return pd.Series(out, dtype=bool)
 
-    found = fixed_rule(F.col("host"), F.col("path"), rules)
-    df = urls.withColumn("found", found).withColumn("mined", hit("tokens"))
+    return urls.withColumn("mined", hit("tokens"))
+
+
+def _hit_by_join(urls: DataFrame, mined: DataFrame) -> DataFrame:
+    """The same for any number of rules."""
+    rules = mined.select(F.col("tokens").alias("rule"))
+    each = rules.select("rule", F.explode("rule").alias("token"))
+    seen = each.groupBy("token").count()  # frequent tokens only
+    filed = written(each.join(small(written(seen, "url-tokens")), "token").groupBy("rule").agg(
+        F.min(F.struct("count", "token"))["token"].alias("token")), "url-index")
+    lists = urls.select("tokens").distinct()
+    hits = lists.select("tokens", F.explode("tokens").alias("token")).join(
+        small(filed), "token").filter(F.size(F.array_except("rule", "tokens")) == 0)
+    hits = hits.select("tokens").distinct().withColumn("mined", F.lit(True))
+    return urls.join(hits, "tokens", "left").withColumn("mined", F.coalesce("mined", F.lit(False)))
+
+
+def judge(pages: DataFrame, labels: DataFrame, rules=FIXED_RULES) -> DataFrame:
+    """page_id, host, path, rule and verdict of every row of `pages`.
+
+    A page's label is that of the document with its id; bad is quality 0 or toxic 1.
+    """
+    urls = parsed(pages)
+    bad = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("page_id")).agg(
+        F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad"))
+    mined = written(mine(urls.join(bad, "page_id").select("tokens", "bad")), "url-pruned")
+    hit = _hit_by_index if mined.count() <= INDEX_RULES else _hit_by_join
+    df = hit(urls, mined).withColumn("found", fixed_rule(F.col("host"), F.col("path"), rules))
     return df.select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"),
         F.coalesce(F.col("found.verdict"), F.when(F.col("mined"), F.lit("block"))
