@@ -15,6 +15,10 @@ sets reaches a threshold.
    pairs whose greatest possible overlap reaches the threshold, and skips pairs that are
    connected already, so that a group of near copies costs about its length, not its square.
    Surviving leaf pairs are verified on the sets.
+   A document's block follows from its least n-gram, as like documents mostly share it;
+   one that very many share is dealt over several blocks.  A few of its documents are copied
+   to all of these (and those of a group's commonest to all its blocks), so that the parts
+   of near copies are linked already.
 4. Blocks of one group meet only for the documents outside the group's largest connected
    part, and only where sizes allow a link.
 
@@ -34,6 +38,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
@@ -44,6 +49,9 @@ from pennywright.llm.shared import small, written
 BITS = 2048  # of a token bitmap
 FANOUT = 8
 BLOCK = 1_000_000  # n-grams of a block
+PIECE = 1000  # texts split into words at once
+BATCH = 65_536  # rows of signatures sent at once
+PIVOTS = 8  # documents, at most, that all blocks of a least n-gram have
 RUNG = 1.6  # ratio of the ladder of part counts
 
 
@@ -57,13 +65,16 @@ class Shingler:
         self.n = n
 
     def __call__(self, texts) -> list[np.ndarray]:
-        split = [(t or "").encode().lower().split() for t in texts]
-        distinct = set()
-        for words in split:
-            distinct.update(words)
-        known = {w: xxhash.xxh64_intdigest(w) for w in distinct}
-        return [self._grams(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-                for words in split]
+        known, out = {}, []
+        for i in range(0, len(texts), PIECE):  # the words of a piece are held at once
+            split = [(t or "").encode().lower().split() for t in texts[i: i + PIECE]]
+            distinct = set()
+            for words in split:
+                distinct.update(words)
+            known.update((w, xxhash.xxh64_intdigest(w)) for w in distinct - known.keys())
+            out += [self._grams(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+                    for words in split]
+        return out
 
     def _grams(self, h: np.ndarray) -> np.ndarray:
         if not len(h):
@@ -306,7 +317,11 @@ def _short(digest: bytes | None) -> int | None:
 
 
 def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """sig, short: part signatures of each set, once per set in a batch of rows."""
+    """sig, short, a: part signatures of each set, combined in each batch of rows.
+
+    A batch has one row per signature, its least set, without a; every other set of the
+    signature is an edge (a, short) to it, once, under a sig of its own.
+    """
     ladder = Ladder(num, den)
 
     def run(batches):
@@ -321,11 +336,30 @@ def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     signatures.append(found.view(np.int64))
                     shorts.append(np.full(len(found), short, np.int64))
             if signatures:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(signatures)), pa.array(np.concatenate(shorts))],
-                    ["sig", "short"])
-
-    return docs.select("text").mapInArrow(run, "sig long, short long")
+                found = _combined(np.concatenate(signatures), np.concatenate(shorts))
+                del signatures, shorts
+                for i in range(0, found.num_rows, BATCH):
+                    yield found.slice(i, BATCH)
+
+    return docs.select("text").mapInArrow(run, "sig long, short long, a long")
+
+
+def _combined(sigs: np.ndarray, shorts: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((shorts, sigs))
+    sigs, shorts = sigs[order], shorts[order]
+    head = np.r_[True, sigs[1:] != sigs[:-1]]
+    starts = np.flatnonzero(head)
+    rest = np.flatnonzero(~head)
+    least = shorts[starts[np.searchsorted(starts, rest) - 1]]
+    edges = pd.DataFrame({"a": least, "b": shorts[rest]}).drop_duplicates()
+    edges = edges[edges["a"] != edges["b"]]
+    a, b = edges["a"].to_numpy(), edges["b"].to_numpy()
+    own = _mixed(_mixed(a.view(np.uint64)) + b.view(np.uint64)).view(np.int64)
+    heads = int(head.sum())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.r_[sigs[head], own]), pa.array(np.r_[shorts[head], b]),
+         pa.array(np.r_[np.zeros(heads, np.int64), a], mask=np.arange(heads + len(a)) < heads)],
+        ["sig", "short", "a"])
 
 
 def sets_of(texts: DataFrame, n: int) -> DataFrame:
@@ -346,6 +380,34 @@ def sets_of(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(run, schema + ", grams binary, first long")
 
 
+def in_blocks(sets: DataFrame) -> DataFrame:
+    """team, block, rep, grams of written rows that also have blocks, size and first.
+
+    The rows of a least n-gram go to one block, or to as many as they fill.
+    """
+    firsts = sets.filter("blocks > 1").groupBy("team", "first").agg(
+        F.first("blocks").alias("blocks"), F.sum("size").alias("n"), F.array_distinct(F.array(
+            *[F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(PIVOTS)])).alias("pivots"))
+    firsts = written(firsts.withColumn("rooms", F.ceil(F.col("n") / BLOCK).cast("int")), "join-firsts")
+    hot = firsts.filter("rooms > 1")
+    home = F.pmod(F.xxhash64("first"), F.col("blocks"))
+    dealt = sets.join(small(hot.select("team", "first", "rooms")), ["team", "first"], "left")
+    salt = F.pmod(F.xxhash64("rep"), F.coalesce("rooms", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(home + salt, F.col("blocks")).cast("int"))
+    rooms = F.sequence(F.lit(0), F.col("rooms") - 1)
+    own = hot.select("team", "pivots", F.transform(
+        rooms, lambda i: F.pmod(home + i, F.col("blocks")).cast("int")).alias("to"))
+    common = firsts.groupBy("team").agg(
+        F.max_by(F.struct("pivots", "blocks"), F.struct("n", "first")).alias("c"))
+    common = common.select("team", "c.pivots", F.sequence(F.lit(0), F.col("c.blocks") - 1).alias("to"))
+    copies = own.unionByName(common).select("team", F.explode("pivots").alias("rep"), "to")
+    copies = copies.select("team", "rep", F.explode("to").alias("block")).distinct()
+    copied = sets.select("team", "rep", "grams").join(
+        small(written(copies, "join-pivots")), ["team", "rep"])
+    columns = ["team", "block", "rep", "grams"]
+    return dealt.select(columns).unionByName(copied.select(columns))
+
+
 def _links_in_blocks(blocks: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) inside each (team, block) of rows rep, grams."""
     def run(batches):
@@ -452,11 +514,12 @@ def join_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"),
         F.first("short").alias("short"))
     classes = written(classes, "join-classes")
-    # a group of equal parts is a star around its least member, which the window carries on
+    # a group of equal parts is a star around its least member, which the window carries on;
+    # batches are combined, so that the window has at most one row of a part for each
     order = Window.partitionBy("sig").orderBy("short").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     stars = signature_rows(docs, n, num, den).withColumn(
-        "a", F.first("short").over(order)).filter("a <> short")
+        "a", F.coalesce("a", F.first("short").over(order))).filter("a <> short")
     teams = components(stars.select("a", F.col("short").alias("b")))
     teams = teams.select(F.col("node").alias("short"), F.col("component").alias("team"))
     members = teams.join(classes, "short").filter("rep IS NOT NULL").select("team", "rep", "size")
@@ -468,10 +531,11 @@ def join_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     sets = sets_of(texts.join(small(members), "rep").select(
         "team", "blocks", "rep", "size", "text"), n)
     sets = written(sets.filter(F.length("grams") == F.col("size") * 8), "join-sets")
-    block = F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int")
-    inside = written(_links_in_blocks(sets.withColumn("block", block), num, den), "join-links")
     large = sets.filter("blocks > 1").select("team", "blocks", "rep", "size", "grams")
-    if large.limit(1).count():
+    several = large.limit(1).count() > 0
+    blocks = in_blocks(sets) if several else sets.withColumn("block", F.lit(0))
+    inside = written(_links_in_blocks(blocks, num, den), "join-links")
+    if several:
         label = components(inside).select(F.col("node").alias("rep"), F.col("component").alias("label"))
         across = _links_across(large, label, num, den)
         inside = written(inside.union(across), "join-all-links")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pennywright.llm import ngram_join as nj, suffix_dedup as sd, winnowing as wn
 from tests.llm import brute
@@ -152,3 +153,35 @@ def test_winnowing_keeps_the_rightmost_least_of_each_window(spark):
         if (grams[best], best) not in want:
             want.append((grams[best], best))
     assert got == want
+
+
+def near_copies():
+    """80 texts that differ from one text in a word each."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    return [(i + 10, " ".join(words[:i + 20] + [f"x{i}"] + words[i + 21:])) for i in range(80)]
+
+
+def test_a_group_of_near_copies_is_dealt_over_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame(near_copies(), "doc_id long, text string").repartition(3)
+    held = []
+
+    def watched(blocks, num, den, inner=nj._links_in_blocks):
+        held.extend(blocks.groupBy("team", "block").agg(
+            F.sum(F.length("grams") / 8).alias("n")).collect())
+        return inner(blocks, num, den)
+
+    monkeypatch.setattr(nj, "_links_in_blocks", watched)
+    monkeypatch.setattr(nj, "BLOCK", 2000)
+    monkeypatch.setattr(nj, "PIVOTS", 2, raising=False)
+    found = nj.join_groups(docs).collect()
+    assert {r.component_id for r in found} == {10} and len(found) == 80
+    assert len(held) > 2 and max(r.n for r in held) < 3 * 2000
+
+
+def test_signatures_are_combined_before_they_are_dealt(spark):
+    docs = spark.createDataFrame(near_copies(), "doc_id long, text string").coalesce(1)
+    rows = nj.signature_rows(docs, 5, 80, 100)
+    assert rows.groupBy("sig").count().agg(F.max("count")).first()[0] == 1
+    edges = rows.filter("a IS NOT NULL")
+    assert 79 <= edges.count() == edges.select("a", "short").distinct().count()
