@@ -1,7 +1,7 @@
 """One query per operator over its whole table, with DuckDB SQL where there is some."""
 
 from pennywright.llm import (
-    html_text, language_model, mixing, ngram_join, packing, quality_classifier, quality_rules, sql,
+    filter_audit, html_text, language_model, mixing, ngram_join, packing, quality_classifier, quality_rules, sql,
     suffix_dedup, url_filters, winnowing,
 )
 from pennywright.llm.shared import table
@@ -72,3 +72,8 @@ def op3(spark, sf_dir):
 @query("op7_suffix_dedup")
 def op7(spark, sf_dir):
     return suffix_dedup.digest_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op13_filter_audit", sql.FILTER_AUDIT)
+def op13(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

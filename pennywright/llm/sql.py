@@ -126,3 +126,50 @@ jgroups AS (
 
 NGRAM_JOIN = "WITH RECURSIVE " + ngram_groups("documents", 3, 90, 100) + """
 SELECT * FROM jgroups"""
+
+
+FILTER_AUDIT = r"""WITH
+texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+         min(doc_id) OVER (PARTITION BY t) AS first_id
+  FROM texts),
+judged AS (
+  SELECT part, doc_id,
+         CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN first_id < doc_id THEN 16 ELSE 0 END AS fails
+  FROM words),
+known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+         max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+sets AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM judged LEFT JOIN known USING (doc_id) GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order,
+         [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (
+  SELECT filter_order, s.step::INTEGER AS step, bits[s.step] AS bit,
+         coalesce(list_sum(bits[1:s.step - 1]), 0)::INTEGER AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS step) s),
+counted AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN fails & (earlier + bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN fails & bit > 0 AND fails & earlier = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN fails & bit > 0 AND fails & earlier > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN fails & bit > 0 AND fails & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN fails & bit > 0 AND fails & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM sets, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted"""
