@@ -2,7 +2,7 @@
 
 from pennywright.llm import (
     filter_audit, html_text, language_model, mixing, ngram_join, packing, quality_classifier, quality_rules, sql,
-    suffix_dedup, url_filters, winnowing,
+    suffix_dedup, url_filters, vector_codes, winnowing,
 )
 from pennywright.llm.shared import table
 
@@ -77,3 +77,8 @@ def op7(spark, sf_dir):
 @query("op13_filter_audit", sql.FILTER_AUDIT)
 def op13(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_vector_codes", sql.VECTOR_CODES)
+def op11(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))

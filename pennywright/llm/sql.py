@@ -173,3 +173,48 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
        good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
        (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
 FROM counted"""
+
+
+def _code_round(i: int) -> str:
+    """CTEs of one assignment (near{i}) under codebook {i}; a distance and an index in one number."""
+    return f"""
+near{i} AS (
+  SELECT rid, v.part, min(list_sum(list_transform(list_zip(v.x, b.x),
+           lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + entry) AS packed
+  FROM pieces v JOIN book{i} b ON v.part = b.part GROUP BY rid, v.part),
+code{i} AS (SELECT rid, part, (packed % 64)::INTEGER AS entry, (packed // 64)::BIGINT AS error FROM near{i})"""
+
+
+def _code_update(i: int) -> str:
+    return f"""
+mean{i} AS (
+  SELECT part, entry, place, floor(sum(value)::DOUBLE / count(*))::BIGINT AS value
+  FROM (SELECT c.part, c.entry, unnest(range(len(v.x))) AS place, unnest(v.x) AS value
+        FROM code{i} c JOIN pieces v ON c.rid = v.rid AND c.part = v.part) GROUP BY ALL),
+fresh{i} AS (SELECT part, entry, list(value ORDER BY place) AS x FROM mean{i} GROUP BY part, entry),
+book{i + 1} AS (
+  SELECT b.part, b.entry, coalesce(f.x, b.x) AS x
+  FROM book{i} b LEFT JOIN fresh{i} f ON b.part = f.part AND b.entry = f.entry)"""
+
+
+VECTOR_CODES = f"""WITH
+vectors AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS (
+  SELECT rid, vec_id, p.part, q[p.part * (len(q) // 16) + 1 : (p.part + 1) * (len(q) // 16)] AS x
+  FROM vectors, (SELECT unnest(range(16)) AS part) p),
+book0 AS (SELECT part, rid - 1 AS entry, x FROM pieces WHERE rid <= 64),
+{_code_round(0)}, {_code_update(0)}, {_code_round(1)}, {_code_update(1)}, {_code_round(2)},
+coded AS (
+  SELECT rid, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(error)::BIGINT AS error
+  FROM code2 GROUP BY rid),
+numbers AS (
+  SELECT part, entry, unnest(range(len(x))) AS place, unnest(x) AS value FROM book2),
+books AS (SELECT sha256(string_agg(value::VARCHAR, ',' ORDER BY part, entry, place)) AS h FROM numbers)
+SELECT vec_id, label, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       h AS codebooks_sha256
+FROM coded JOIN vectors USING (rid), books"""
