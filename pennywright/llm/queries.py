@@ -1,8 +1,8 @@
 """One query per operator over its whole table, with DuckDB SQL where there is some."""
 
 from pennywright.llm import (
-    filter_audit, html_text, language_model, mixing, ngram_join, packing, quality_classifier, quality_rules, sql,
-    suffix_dedup, url_filters, vector_codes, winnowing,
+    filter_audit, html_text, language_model, mixing, ngram_join, packing, personal_data,
+    quality_classifier, quality_rules, sql, suffix_dedup, url_filters, vector_codes, winnowing,
 )
 from pennywright.llm.shared import table
 
@@ -82,3 +82,8 @@ def op13(spark, sf_dir):
 @query("op11_vector_codes", sql.VECTOR_CODES)
 def op11(spark, sf_dir):
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_personal_data")
+def op12(spark, sf_dir):
+    return personal_data.digest(table(spark, sf_dir, "documents"))
