@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from checks import rules_sql as sql
 from checks.catalog import add
 from checks.ledger_queries import MONTH, money_out
-from checks.views import card_feed, ledger, loan
+from checks.views import card_feed, ledger, table, loan
 from pennywright.functions import dates, fixed_values as fv, money, text
-from pennywright.functions.fuzzy import best_alias_udf
+from pennywright.functions.fuzzy import with_best_alias
 from pennywright.operators import enrich, extract
 
 
@@ -428,27 +428,87 @@ SELECT f.id, f.merchant_name, COALESCE(t.category, 'Uncategorized') AS category,
 FROM found f LEFT JOIN taxonomy t USING (merchant_name)""", "ledger")
 
 
+NEAR_MISSES = sql.fuzzy_pairs()
+
+
+def near_misses(spark, sf_dir):
+    """Two misspelt alias texts per customer: a letter dropped, replaced or put in, in other words."""
+    words = F.array(*[F.lit(a) for a, _ in NEAR_MISSES])
+    rows = table(spark, sf_dir, "customer").select(F.explode(F.array(
+        F.col("c_custkey") * 2, F.col("c_custkey") * 2 + 1)).alias("id"))
+    rows = rows.withColumn("a", F.get(words, (F.col("id") % len(NEAR_MISSES)).cast("int")))
+    rows = rows.withColumns({
+        "p": ((F.expr(f"id div {len(NEAR_MISSES)}") + F.expr("id div 5")) % F.length("a") + 1).cast("int"),
+        "x": F.chr(65 + F.expr("id div 7") % 26), "op": F.expr("id div 3") % 4})
+    miss = F.concat(F.substring("a", F.lit(1), F.col("p") - 1),
+                    F.when(F.col("op") == 0, F.lit("")).otherwise(F.col("x")),
+                    F.expr("substring(a, p + IF(op = 2, 0, 1))"),
+                    F.when(F.col("op") == 3, F.lit(" AG")).otherwise(F.lit("")))
+    before = F.get(F.array(*[F.lit(w) for w in ("", "SQ ", "TST* ", "POS ")]), (F.col("id") % 4).cast("int"))
+    after = F.get(F.array(*[F.lit(w) for w in ("", " STORE", " 10234", " NORTH AVE")]),
+                  (F.expr("id div 4") % 4).cast("int"))
+    return rows.select("id", F.concat(before, miss, after).alias("description"))
+
+
+NEAR_MISSES_SQL = f"""misses AS (
+  SELECT id, ['', 'SQ ', 'TST* ', 'POS '][id % 4 + 1] || a[1:p - 1] || CASE WHEN op = 0 THEN '' ELSE x END
+    || a[p + CASE WHEN op = 2 THEN 0 ELSE 1 END:] || CASE WHEN op = 3 THEN ' AG' ELSE '' END
+    || ['', ' STORE', ' 10234', ' NORTH AVE'][id // 4 % 4 + 1] AS description
+  FROM (SELECT *, (id // {len(NEAR_MISSES)} + id // 5) % length(a) + 1 AS p, chr((65 + id // 7 % 26)::INTEGER) AS x,
+               id // 3 % 4 AS op
+        FROM (SELECT id, ([{', '.join(sql.quoted(a) for a, _ in NEAR_MISSES)}])[id % {len(NEAR_MISSES)} + 1] AS a
+              FROM (SELECT unnest([c_custkey * 2, c_custkey * 2 + 1]) AS id FROM customer))))"""
+
+
 def fuzzy_scores(spark, sf_dir):
     """Distinct cleaned texts no fragment matched, with their best alias."""
-    pairs = enrich.fuzzy_list()
-    match = best_alias_udf([a for a, _ in pairs])
-    rest = exact_rows(spark, sf_dir).filter("merchant_name IS NULL").groupBy("cleaned").agg(
+    cleaned = near_misses(spark, sf_dir).select(text.clean_card(F.col("description")).alias("cleaned"))
+    rest = cleaned.filter(enrich.exact_merchant(F.col("cleaned")).isNull()).groupBy("cleaned").agg(
         F.count(F.lit(1)).alias("n_rows"))
-    scored = rest.withColumn("m", match(F.col("cleaned")))
-    names = F.array(*[F.lit(n) for _, n in pairs])
+    scored = with_best_alias(rest, "cleaned", "m", [a for a, _ in NEAR_MISSES])
+    names = F.array(*[F.lit(n) for _, n in NEAR_MISSES])
     return scored.select("cleaned", "n_rows", F.get(names, F.col("m.position")).alias("name"),
                          F.col("m.score").alias("score"))
 
 
-add("j08_fuzzy_match", fuzzy_scores)
+add("j08_fuzzy_match", fuzzy_scores, f"""
+WITH {NEAR_MISSES_SQL}, cleaned AS (SELECT {sql.clean_card('description')} AS cleaned FROM misses),
+known AS (SELECT cleaned AS s, count(*) AS n_rows FROM cleaned
+          WHERE ({sql.contains_case('cleaned', sql.alias_groups())}) IS NULL GROUP BY cleaned),
+{sql.best_aliases('known', 'best')}
+SELECT s AS cleaned, n_rows, name, score FROM known LEFT JOIN best USING (s)""")
+
+
+def resolved(rows):
+    return enrich.resolve_merchants(rows).select(
+        "id", "cleaned", "merchant_name", "merchant_score", "method")
+
+
+RESOLVED = "SELECT id, cleaned, merchant_name, merchant_score, method FROM resolved"
+
+add("f29_merchant_resolution", lambda s, d: resolved(ledger(s, d).select("id", "description")),
+    f"WITH {sql.resolved_merchants('ledger')} {RESOLVED}", "ledger")
 
-add("f29_merchant_resolution",
-    lambda s, d: enrich.resolve_merchants(ledger(s, d).select("id", "description")).select(
-        "id", "cleaned", "merchant_name", "merchant_score", "method"))
+add("f29_near_misses", lambda s, d: resolved(near_misses(s, d)),
+    f"WITH {NEAR_MISSES_SQL}, {sql.resolved_merchants('misses')} {RESOLVED}")
 
 add("f29_enriched_card",
     lambda s, d: money_out(enrich.enrich_card(ledger(s, d))).withColumn(
-        "flags", F.array_join("flags", ",")))
+        "flags", F.array_join("flags", ",")), f"""
+WITH {sql.resolved_merchants('ledger')}, taxonomy(merchant_name, category, subcategory) AS
+  (VALUES {sql.taxonomy_values()}),
+placed AS (
+  SELECT l.id AS raw_id, statement_id, bank_name, date, raw AS description, cleaned AS clean_description,
+    amount, coalesce(l.transaction_type, 'UNKNOWN') AS transaction_type, balance, r.merchant_name,
+    raw AS merchant_raw, coalesce(t.category, 'Uncategorized') AS category,
+    coalesce(t.subcategory, 'Other') AS subcategory, {sql.location('raw')} AS location,
+    CASE WHEN t.category IS NULL THEN 0.2::DOUBLE ELSE merchant_score END AS confidence_score,
+    method AS enrichment_method
+  FROM ledger l JOIN resolved r USING (id) LEFT JOIN taxonomy t ON t.merchant_name = r.merchant_name)
+SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount, CAST(balance AS DOUBLE) AS balance),
+  concat_ws(',', CASE WHEN abs(amount) > 300 THEN 'large_transaction' END,
+            CASE WHEN category = 'Uncategorized' THEN 'needs_review' END) AS flags
+FROM placed""", "ledger")
 
 BANK = sql.contains_case("upper(description)", fv.BANK_CATEGORIES, "'Uncategorized'")
 add("f06_enriched_bank",

@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, functions as F
 
 from pennywright.functions import fixed_values as fv, text
-from pennywright.functions.fuzzy import best_alias_udf
+from pennywright.functions.fuzzy import with_best_alias
 from pennywright.functions.matching import first_category
 from pennywright.functions.money import zero
 from pennywright.operators.joins import compute_once, not_yet_enriched
+from pennywright.sources.scratch import written
 
 THRESHOLD = 75
 SHORTEST_FUZZY = 6
@@ -29,20 +30,22 @@ def fuzzy_list(aliases=None):
 def fuzzy_merchants(keys: DataFrame, aliases=None, threshold: float = THRESHOLD) -> DataFrame:
     """Match each distinct (cleaned, hint) fuzzily: the text first, then the hint."""
     pairs = fuzzy_list(aliases)
-    match = best_alias_udf([alias for alias, _ in pairs], threshold)
+    words = [alias for alias, _ in pairs]
     names = F.array(*[F.lit(name) for _, name in pairs])
 
     def name_at(m):
         return F.get(names, m["position"])
 
-    by_text = keys.withColumn("_t", match(F.col("cleaned")))
+    by_text = with_best_alias(keys, "cleaned", "_t", words, threshold)
     missed = F.when(F.col("_t.position").isNull(), F.upper(text.strip(F.col("hint"))))
-    by_hint = by_text.withColumn("_h", match(missed))
+    by_hint = with_best_alias(by_text.withColumn("_missed", missed), "_missed", "_h", words, threshold)
     return by_hint.select(
         *keys.columns,
         F.coalesce(name_at(F.col("_t")), name_at(F.col("_h"))).alias("fuzzy_name"),
         F.coalesce(
-            F.col("_t.score") / 100.0, F.least(F.col("_h.score") / 100.0, F.lit(HINT_CAP))
+            F.col("_t.score") / 100.0,
+            F.when(F.col("_h.score").isNotNull(),
+                   F.least(F.col("_h.score") / 100.0, F.lit(HINT_CAP))),
         ).alias("fuzzy_score"),
         F.when(F.col("_t.position").isNotNull(), "fuzzy")
         .when(F.col("_h.position").isNotNull(), "hint")
@@ -54,19 +57,20 @@ def resolve_merchants(rows: DataFrame, key: str = "id", aliases=None,
                       threshold: float = THRESHOLD, **spread) -> DataFrame:
     """Add cleaned, merchant_name, merchant_score and method to rows.
 
-    Rows with a known fragment are done in one map-only pass.  Only the rest is
-    matched fuzzily, once per distinct text, and joined back.
+    Cleaning and the search for known fragments cost far more than a row's bytes, so they are done
+    once and written; what follows reads that.  Only rows without a known fragment are matched
+    fuzzily, once per distinct text, and joined back.
     """
     columns = rows.columns
-    source = rows.withColumn("_raw", F.coalesce("description", F.lit("")))
-    cleaned = source.withColumn("cleaned", text.clean_card(F.col("_raw")))
-    exact = exact_merchant(F.col("cleaned"), aliases)
-    # explode of a list of at most one: keeps the hits and searches each row once
-    known = cleaned.select(
-        *columns, "cleaned",
-        F.explode(F.array_compact(F.array(exact))).alias("merchant_name"),
-    ).withColumns({"merchant_score": F.lit(1.0), "method": F.lit("substring")})
-    rest = cleaned.filter(exact.isNull()).withColumn("hint", text.merchant_hint(F.col("_raw")))
+    cleaned = rows.withColumn("_raw", F.coalesce("description", F.lit(""))).withColumn(
+        "cleaned", text.clean_card(F.col("_raw"))).withColumn(
+        "_exact", exact_merchant(F.col("cleaned"), aliases))
+    staged = written(cleaned.withColumn(
+        "hint", F.when(F.col("_exact").isNull(), text.merchant_hint(F.col("_raw")))), "cleaned")
+    known = staged.filter(F.col("_exact").isNotNull()).select(
+        *columns, "cleaned", F.col("_exact").alias("merchant_name"), F.lit(1.0).alias("merchant_score"),
+        F.lit("substring").alias("method"))
+    rest = staged.filter(F.col("_exact").isNull()).drop("_exact")
     matched = compute_once(
         rest, ["cleaned", "hint"], lambda k: fuzzy_merchants(k, aliases, threshold), key, **spread
     )
