@@ -6,6 +6,7 @@ from checks.catalog import add
 from checks.ledger_queries import ROW, money_out
 from checks.views import card_feed, ledger, loan, statement_files, table
 from pennywright.operators import enrich, joins, pairing, tables, validate
+from pennywright.operators.keyed_table import KeyedTable
 from pennywright.plans import bank, card, ingest
 from pennywright.sources import scratch
 
@@ -325,6 +326,102 @@ WITH {OLD_NEW} SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM (
     "ledger")
 
 
+def keyed(spark, rows, key, unique=()):
+    """A bucketed table of the rows in a new folder; about 200,000 rows a bucket."""
+    made = KeyedTable(spark, f"{scratch.shared_folder(spark)}/keyed", key, unique,
+                      buckets=max(8, rows.count() // 200_000))
+    made.create(rows)
+    return made
+
+
+def bucket_upsert(spark, sf_dir):
+    """The rows of s18, through a bucketed table and in two batches."""
+    held = keyed(spark, old_rows(spark, sf_dir), "raw_id")
+    for rest in (0, 2):
+        held.upsert(new_rows(spark, sf_dir).filter(F.col("raw_id") % 4 == rest),
+                    tables.upsert_enrichment)
+    return money_out(held.read())
+
+
+def bucket_replace(spark, sf_dir):
+    held = keyed(spark, old_rows(spark, sf_dir), "raw_id")
+    held.upsert(new_rows(spark, sf_dir), tables.upsert_rows)
+    return money_out(held.read())
+
+
+#: Rows known by their id and by a reference; the new ones carry the reference of the next row on.
+def referenced(spark, sf_dir):
+    return ledger(spark, sf_dir).select("raw_id", F.concat(F.lit("r"), "raw_id").alias("reference"),
+                                        "amount", "category")
+
+
+def bucket_insert_or_replace(spark, sf_dir):
+    old = referenced(spark, sf_dir).filter("raw_id % 3 <> 2")
+    held = keyed(spark, old, "raw_id", ["reference"])
+    new = referenced(spark, sf_dir).filter("raw_id % 5 = 0").select(
+        "raw_id", F.concat(F.lit("r"), F.col("raw_id") + 1).alias("reference"), "amount")
+    held.insert_or_replace(new, {"category": "none"})
+    return money_out(held.read())
+
+
+def marked_delete(spark, sf_dir):
+    """Deleted keys, some of which come back; then all of it compacted."""
+    held = keyed(spark, old_rows(spark, sf_dir), "raw_id")
+    held.delete(ledger(spark, sf_dir).filter("statement_id % 4 = 1").select("raw_id"))
+    held.upsert(new_rows(spark, sf_dir).filter("raw_id % 8 = 0"), tables.upsert_rows)
+    held.delete(ledger(spark, sf_dir).filter("id % 7 = 3").select("raw_id"))
+    before = held.read()
+    held.compact()
+    return money_out(held.read().join(before.select("raw_id"), "raw_id", "left_semi"))
+
+
+def widened(spark, sf_dir):
+    """Whole dollars as int, then a batch that needs more room and a note."""
+    rows = ledger(spark, sf_dir)
+    held = keyed(spark, rows.filter("id % 2 = 0").select("raw_id", F.col("amount").cast("int").alias("dollars")),
+                 "raw_id")
+    held.evolve(add={"note": "string"}, widen={"dollars": "bigint"})
+    held.upsert(rows.filter("id % 4 <> 2").select(
+        "raw_id", (F.col("amount").cast("int").cast("long") + 10_000_000_000).alias("dollars"),
+        F.lit("late").alias("note")), tables.upsert_rows)
+    return held.read()
+
+
+add("s18_bucket_upsert", bucket_upsert, f"""
+WITH {OLD_NEW} SELECT raw_id, COALESCE(o.date, n.date) AS date,
+  COALESCE(o.description, n.description) AS description,
+  CAST(COALESCE(o.amount, n.amount) AS DOUBLE) AS amount,
+  COALESCE(n.category, o.category) AS category,
+  CASE WHEN n.category IS NOT NULL THEN n.merchant_name ELSE o.merchant_name END AS merchant_name,
+  COALESCE(n.confidence_score, o.confidence_score) AS confidence_score
+FROM old o FULL JOIN new n USING (raw_id)""", "ledger")
+
+add("s19_bucket_replace", bucket_replace, f"""
+WITH {OLD_NEW} SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM (
+  SELECT * FROM old WHERE raw_id NOT IN (SELECT raw_id FROM new) UNION ALL SELECT * FROM new)""",
+    "ledger")
+
+add("s20_bucket_insert_or_replace", bucket_insert_or_replace, """
+WITH rows AS (SELECT raw_id, 'r' || raw_id AS reference, CAST(amount AS DOUBLE) AS amount, category
+  FROM ledger),
+new AS (SELECT raw_id, 'r' || (raw_id + 1) AS reference, amount, 'none' AS category FROM rows
+  WHERE raw_id % 5 = 0)
+SELECT * FROM rows WHERE raw_id % 3 <> 2 AND raw_id NOT IN (SELECT raw_id FROM new)
+  AND reference NOT IN (SELECT reference FROM new)
+UNION ALL SELECT * FROM new""", "ledger")
+
+add("s24_marked_delete", marked_delete, f"""
+WITH {OLD_NEW}, back AS (SELECT * FROM new WHERE raw_id % 8 = 0),
+kept AS (SELECT * FROM old WHERE raw_id NOT IN (SELECT raw_id FROM ledger WHERE statement_id % 4 = 1)
+  AND raw_id NOT IN (SELECT raw_id FROM back) UNION ALL SELECT * FROM back)
+SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM kept WHERE raw_id % 7 <> 3""", "ledger")
+
+add("s26_widened_columns", widened, """
+WITH rows AS (SELECT raw_id, CAST(trunc(amount) AS BIGINT) AS dollars FROM ledger)
+SELECT raw_id, dollars, CAST(NULL AS VARCHAR) AS note FROM rows WHERE raw_id % 4 = 2
+UNION ALL SELECT raw_id, dollars + 10000000000, 'late' FROM rows WHERE raw_id % 4 <> 2""", "ledger")
+
+
 def published(spark, sf_dir):
     """Two batches to two places, the second one twice; both hold the same rows."""
     base = scratch.shared_folder(spark)
