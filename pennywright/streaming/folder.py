@@ -1,12 +1,19 @@
-"""A folder of statement files as a stream: each content is imported once."""
+"""A folder of statement files as a stream: each content is imported once.
+
+Which contents have been seen is keyed state of the stream (in RocksDB, one small entry per content,
+kept by its checkpoint), so a batch compares its files with the state of their own hashes and
+never reads the registry.  Ids continue from one number that the batch before left behind.
+A batch costs what it brings, the thousandth like the first.
+"""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pennywright.operators.tables import new_statements
-from pennywright.streaming.batches import read_batches, run_available, write_batch
+from pennywright.operators.windows import dense_ids
+from pennywright.streaming.batches import read_batches, write_batch
 
 REGISTRY = "id long, file_hash string, original_path string, filename string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -25,13 +32,54 @@ def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
     )
 
 
+def unseen_files(files: DataFrame) -> DataFrame:
+    """Contents met in a batch, in update mode: those that are new have `is_new`, with their first path.
+
+    Batch times rise, so a content is new in the batch that is both its first and its last.  Copies
+    are combined before they are shuffled.
+    """
+    timed = files.withColumn("at", F.current_timestamp())  # of the batch, the same when it runs again
+    met = timed.groupBy("file_hash").agg(
+        F.min(F.struct("at", "original_path")).alias("first"), F.max("at").alias("last"))
+    return met.select("file_hash", F.col("first.original_path").alias("original_path"),
+                      F.element_at(F.split("first.original_path", "/"), -1).alias("filename"),
+                      (F.col("first.at") == F.col("last")).alias("is_new"))
+
+
+def _last_id(spark: SparkSession, ids: str, registry: str, batch_id: int) -> int:
+    """The greatest id before a batch: what the batch before noted, at the start the registry's."""
+    if batch_id > 0:
+        return spark.read.schema("last long").parquet(f"{ids}/batch_id={batch_id - 1}").first().last
+    return read_batches(spark, registry, REGISTRY, 0).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
+
 def import_folder(spark: SparkSession, folder: str, registry: str, checkpoint: str,
                   files_per_batch: int = 1000) -> StreamingQuery:
-    """Register files whose content is new, whatever their names; ids continue."""
+    """Register files whose content is new, whatever their names; ids continue.
+
+    The state belongs to the checkpoint: with a new one for an old registry all files are new.
+    """
+    ids = f"{checkpoint.rstrip('/')}-ids"
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        known = read_batches(batch.sparkSession, registry, REGISTRY, batch_id)
-        fresh = new_statements(known, batch).select("id", "file_hash", "original_path",
-                                                    "filename")
-        write_batch(fresh, registry, batch_id)
+        session = batch.sparkSession
+        start = _last_id(session, ids, registry, batch_id)
+        write_batch(dense_ids(batch.filter("is_new"), "file_hash", start).select(
+            "id", "file_hash", "original_path", "filename"), registry, batch_id)
+        # counted from what was written, so that the state is asked once
+        fresh = session.read.schema(REGISTRY).parquet(f"{registry}/batch_id={batch_id}")
+        write_batch(fresh.agg(F.coalesce(F.max("id"), F.lit(start)).cast("long").alias("last")), ids, batch_id)
 
-    return run_available(file_stream(spark, folder, files_per_batch), each, checkpoint)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:  # a query takes the settings of its session when it starts
+        return (
+            unseen_files(file_stream(spark, folder, files_per_batch)).writeStream.outputMode("update")
+            .foreachBatch(each).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
