@@ -1,83 +1,111 @@
-"""Read-only SQL over named frames."""
+"""Read-only SQL over named frames.
+
+Spark parses and resolves the statement; what decides is the resolved plan.  It may read the given
+frames, inline values, `range` and common table expressions, and nothing else, whatever way a
+relation was named.
+"""
 
 import re
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
-_FIRST_WORD = re.compile(r"^\s*(\w+)")
-_LITERAL = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", re.S)
-_REFUSED = (
-    (re.compile(r"\binsert\s+(into|overwrite)\b", re.I), "inserts"),
-    (re.compile(r"\busing\s+\?", re.I), "script transforms"),
-    (re.compile(r"\b(reflect|try_reflect|java_method)\s*\(", re.I), "calls of the JVM"),
-)
-_TOKEN = re.compile(r"`[^`]*`|[\w$]+(?:\s*\.\s*(?:`[^`]*`|[\w$]+))*|[(),]|\S")
-_ENDS_FROM = {"where", "group", "having", "order", "limit", "window", "union", "except",
-              "intersect", "select", "qualify", "sort", "cluster", "distribute", "pivot"}
+_FIRST_WORD = re.compile(r"(?:\s|--[^\n]*\n|/\*.*?\*/|\()*(\w+)", re.S)
+_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
+#: Nodes without children that read nothing that is stored.
+_FREE = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "EmptyRelation", "UnionLoopRef"}
+_REFUSED_NODES = {"ScriptTransformation": "script transforms"}
+_REFUSED_EXPRESSIONS = {"CallMethodViaReflection"}
+
+
+def _each(seq):
+    return [seq.apply(i) for i in range(seq.length())]
+
+
+def _name(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
 
+def _is(spark: SparkSession, node, kind: str) -> bool:
+    return spark._jvm.java.lang.Class.forName(_LOGICAL + kind).isInstance(node)
 
-def relations(sql: str) -> set[str]:
-    """Names that stand where a query names a relation, and names of common table expressions.
 
-    A name counts behind FROM, JOIN or TABLE, and behind a comma of a FROM list; a function
-    call, a sub-query, and FROM inside a function's brackets (extract, trim) do not.
+def _parsed(spark: SparkSession, sql: str, names) -> None:
+    """Raise PermissionError unless `sql` is one query; Spark would run a command at once.
+
+    Relations that are named in plain words are refused here, before anything is looked up.
     """
-    tokens = [t.strip("`").lower() if t.startswith("`") and t.count("`") == 2 else t.lower()
-              for t in _TOKEN.findall(sql)]
-    found, stack, in_from, expect, call = set(), [], False, False, False
-    for i, token in enumerate(tokens):
-        after = tokens[i + 1] if i + 1 < len(tokens) else ""
-        if token == "(":
-            before = tokens[i - 1] if i else ""
-            stack.append((in_from, call))
-            call = bool(re.match(r"\w", before)) and before not in _ENDS_FROM | {
-                "from", "join", "in", "exists", "as", "on", "and", "or", "not", "lateral"}
-            in_from, expect = expect and not call, expect
-        elif token == ")":
-            in_from, call = stack.pop() if stack else (False, False)
-            expect = False
-        elif token in ("from", "join", "table") and not call:
-            in_from, expect = True, True
-        elif token == "," and in_from:
-            expect = True
-        elif token in _ENDS_FROM:
-            in_from = expect = False
-        elif expect and token not in ("lateral", "view", "outer", "only"):
-            if after != "(":
-                found.add(token)
-            expect = False
-    return found
-
-
-def check(sql: str, names) -> None:
-    """Raise PermissionError unless `sql` is one SELECT that reads the named frames only."""
-    bare = _LITERAL.sub(" ? ", sql).strip().rstrip(";")
-    word = _FIRST_WORD.match(bare)
-    if word is None or word.group(1).upper() not in ("SELECT", "WITH") or ";" in bare:
+    word = _FIRST_WORD.match(sql)
+    if word is None or word.group(1).upper() not in ("SELECT", "WITH"):
         raise PermissionError("only one SELECT statement is allowed")
-    plain = bare.replace("`", "")
-    for pattern, what in _REFUSED:
-        if pattern.search(plain):
-            raise PermissionError(f"{what} are not allowed")
-    own = {m.lower() for m in re.findall(r"(?:\bwith|,)\s+`?(\w+)`?\s+(?:\([^()]*\)\s*)?as\s*\(", bare, re.I)}
-    unknown = relations(bare) - own - {n.lower() for n in names}
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as e:
+        raise PermissionError("only one SELECT statement is allowed") from e
+    named, own, todo = [], {n.lower() for n in names}, [plan]
+    while todo:
+        node = todo.pop()
+        if _is(spark, node, "Command") or _is(spark, node, "ParsedStatement"):
+            raise PermissionError("inserts and commands are not allowed")
+        if _name(node) in _REFUSED_NODES:
+            raise PermissionError(f"{_REFUSED_NODES[_name(node)]} are not allowed")
+        if _name(node) == "UnresolvedRelation":
+            named.append(_each(node.multipartIdentifier()))
+        if _name(node) == "UnresolvedWith":
+            for relation in _each(node.cteRelations()):
+                own.add(relation._1().lower())
+                todo.append(relation._2())
+        _check_expressions(node)
+        todo += _each(node.children()) + _each(node.subqueries())
+    unknown = sorted(".".join(n) for n in named if len(n) > 1 or n[0].lower() not in own)
     if unknown:
-        raise PermissionError(f"not among the given frames: {sorted(unknown)}")
+        raise PermissionError(f"not among the given frames: {unknown}")
+
+
+def _check_expressions(node) -> None:
+    todo = _each(node.expressions())
+    while todo:
+        e = todo.pop()
+        called = _name(e) == "UnresolvedFunction" and _each(e.nameParts())[-1].lower()
+        if _name(e) in _REFUSED_EXPRESSIONS or called in ("reflect", "try_reflect", "java_method"):
+            raise PermissionError("calls of the JVM are not allowed")
+        todo += _each(e.children())
+
+
+def check_plan(plan, names) -> None:
+    """Raise PermissionError if a resolved plan reads anything but the views of `names`."""
+    names = {n.lower() for n in names}
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        kind = _name(node)
+        if kind == "View" and node.isTempView() and node.desc().identifier().table().lower() in names:
+            continue  # what a given frame reads is not the statement's doing
+        if kind in _REFUSED_NODES:
+            raise PermissionError(f"{_REFUSED_NODES[kind]} are not allowed")
+        _check_expressions(node)
+        below = _each(node.children()) + _each(node.subqueries())
+        if kind == "View" or (not below and kind not in _FREE):
+            raise PermissionError(f"not among the given frames: {node.simpleString(100)}")
+        todo += below
 
 
 def query(spark: SparkSession, sql: str, frames: dict[str, DataFrame],
           params: dict | None = None) -> DataFrame:
     """Run one SELECT (or WITH ... SELECT) over frames, with bound parameters.
 
-    Anything else is refused: inserts, script transforms, calls of the JVM, and relations
-    that are not given (files and catalog tables).  Values are bound and never pasted into
+    Anything else is refused: commands, inserts, script transforms, calls of the JVM, and relations
+    that are not given (files, catalog tables, other views).  Values are bound and never pasted into
     the text.  The frames' names are views only while the statement is resolved.
     """
-    check(sql, frames)
+    sql = sql.rstrip().rstrip(";")
+    _parsed(spark, sql, frames)
     for name, frame in frames.items():
         frame.createOrReplaceTempView(name)
     try:
-        return spark.sql(sql.rstrip().rstrip(";"), args=params or {})
+        found = spark.sql(sql, args=params or {})
+        check_plan(found._jdf.queryExecution().analyzed(), frames)
+        return found
     finally:
         for name in frames:
             spark.catalog.dropTempView(name)

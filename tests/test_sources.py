@@ -80,3 +80,51 @@ def test_free_sql_runs(spark, sql, want):
     rows = free_sql.query(spark, sql, {"t": spark.range(3)}, {"least": 1} if ":least" in sql else None)
     assert rows.first().n == want
     assert not spark.catalog.tableExists("t")
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT * FROM IDENTIFIER('secret')",
+    "SELECT * FROM IDENTIFIER('sec' || 'ret')",
+    "SELECT * FROM t JOIN IDENTIFIER('sec' || 'ret') s ON true",
+    "SELECT * FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/nation.parquet`')",
+    "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`",
+    "SELECT (SELECT max(id) FROM secret) FROM t",
+    "SELECT * FROM t WHERE id IN (SELECT id FROM secret)",
+    "WITH a AS (SELECT * FROM secret) SELECT * FROM a",
+    "SELECT * FROM t, LATERAL (SELECT id AS x FROM secret)",
+    "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'lineSeparator') FROM t",
+    "SELECT * FROM stored_table",
+    "SELECT * FROM (SELECT * FROM t UNION ALL SELECT id FROM secret)",
+    "WITH t2 AS (SELECT 1 AS id) INSERT INTO stored_table SELECT id FROM t2",
+    "SELECT 1; SELECT 2", "TABLE t", "FROM t SELECT id", "EXECUTE IMMEDIATE 'SELECT 1'",
+])
+def test_free_sql_refuses_by_the_resolved_plan(spark, sql):
+    spark.range(2).createOrReplaceTempView("secret")
+    spark.sql("CREATE TABLE IF NOT EXISTS stored_table (id LONG) USING parquet")
+    try:
+        with pytest.raises(PermissionError):
+            free_sql.query(spark, sql, {"t": spark.range(3)})
+        assert spark.table("stored_table").count() == 0
+    finally:
+        spark.catalog.dropTempView("secret")
+        spark.sql("DROP TABLE stored_table")
+
+
+@pytest.mark.parametrize("sql, want", [
+    ("SELECT count(*) FROM t WHERE id IN (SELECT id FROM t WHERE id > 0)", 2),
+    ("SELECT sum(r.id) FROM range(5) r JOIN t USING (id)", 3),
+    ("SELECT max(x) FROM (SELECT explode(sequence(1, id + 1)) AS x FROM t)", 3),
+    ("SELECT count(*) FROM IDENTIFIER('t')", 3),
+    ("SELECT sum(a) FROM VALUES (1), (2) AS v(a), t", 9),
+    ("WITH from_t AS (SELECT id FROM t), u AS (SELECT id FROM from_t) SELECT count(*) FROM u, from_t", 9),
+    ("SELECT (SELECT max(id) FROM t) + extract(YEAR FROM DATE '2024-01-01')", 2026),
+    ("/* INSERT INTO x */ SELECT count(*) -- from secret\n FROM t;", 3),
+    ("SELECT count(DISTINCT 'from secret') FROM t a LEFT JOIN t b ON a.id = b.id + 1", 1),
+])
+def test_free_sql_accepts_correct_selects(spark, sql, want):
+    assert free_sql.query(spark, sql, {"t": spark.range(3)}).first()[0] == want
+
+
+def test_free_sql_frames_may_read_anything(spark):
+    stored = spark.read.parquet("/root/testdata/sf0.001/nation.parquet")
+    assert free_sql.query(spark, "SELECT count(*) FROM nations", {"nations": stored}).first()[0] == stored.count()
