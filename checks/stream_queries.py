@@ -8,6 +8,7 @@ from checks.ledger_queries import money_out
 from checks.views import card_feed, ledger
 from pennywright.functions import fixed_values as fv
 from pennywright.operators import enrich
+from pennywright.operators.keyed_table import KeyedTable
 from pennywright.plans import live
 from pennywright.sources import scratch
 from pennywright.streaming import batches, enrichment, feed as feed_stream, folder
@@ -107,6 +108,31 @@ WHERE debit AND date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY ca
     "card_feed")
 
 
+def running_totals(spark, sf_dir):
+    """The feed of the month to date, totals kept as it comes: pending rows, then posted ones."""
+    base = scratch.shared_folder(spark)
+    rows = feed_rows(spark, sf_dir)
+    early = rows.filter("transaction_id % 2 = 0").withColumns({
+        "pending": F.lit(True), "amount": (F.col("amount") / 2).cast("decimal(18,2)")})
+    late = rows.filter("transaction_id % 4 <> 2").withColumn("pending", F.lit(False))
+    held = KeyedTable(spark, f"{base}/held", "transaction_id", buckets=max(8, rows.count() // 200_000))
+    for part in (early, late, early.limit(0)):
+        part.write.mode("append").parquet(f"{base}/feed")
+        stream = spark.readStream.schema(feed_stream.FEED).option("maxFilesPerTrigger", 2).parquet(
+            f"{base}/feed")
+        feed_stream.running_totals(stream, held, f"{base}/totals", f"{base}/cp", fan=2).awaitTermination()
+    return feed_stream.month_totals(spark, f"{base}/totals")
+
+
+add("st3_running_totals", running_totals, """
+WITH now AS (SELECT category, CASE WHEN transaction_id % 4 = 2
+    THEN CAST((CAST(amount * 100 AS HUGEINT) + CASE WHEN amount < 0 THEN -1 ELSE 1 END) // 2
+      AS DOUBLE) / 100 ELSE CAST(amount AS DOUBLE) END AS amount, amount >= 0 AS debit,
+    strftime(date, '%Y-%m') AS month FROM card_feed)
+SELECT month, category, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_spent,
+  COUNT(*) AS transaction_count FROM now WHERE debit GROUP BY month, category""", "card_feed")
+
+
 def daily_stream(spark, sf_dir):
     """Daily totals of a feed whose rows arrive twice; the last days stay open."""
     base = scratch.shared_folder(spark)

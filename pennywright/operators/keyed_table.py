@@ -162,10 +162,21 @@ class KeyedTable:
             written[part] = (places, self._write(pairs, part, u, version, len(places)))
         self._commit(self._next(state, written))
 
-    def upsert(self, new: DataFrame, merge: Callable[[DataFrame, DataFrame, str], DataFrame]) -> None:
-        """Merge rows with `merge(old rows of their buckets, new rows, key)`."""
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The rows of some keys, from their buckets alone."""
+        rows = self._read(self.state(), ROWS, self._touched(keys, self.key))
+        return rows.join(keys.select(self.key), self.key, "left_semi")
+
+    def upsert(self, new: DataFrame, merge: Callable[[DataFrame, DataFrame, str], DataFrame],
+               note: dict | None = None) -> None:
+        """Merge rows with `merge(old rows of their buckets, new rows, key)`.
+
+        A `note`, such as the batch the rows come from, is committed with them (see `state`).
+        """
         state = self.state()
         touched = self._touched(new, self.key)
+        if note is not None:
+            state["note"] = note
         if not touched:
             return
         old = self._read(state, ROWS, touched)
