@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.catalog import add
-from checks.views import card_feed, holdings, table, turns
+from checks.views import card_feed, holdings, ledger, table, turns
 from pennywright.functions import conversation as conv, fixed_values as fv
 from pennywright.functions.money import dollars, feed_type, position_values
 from pennywright.operators import windows
@@ -162,6 +162,35 @@ FROM holdings a LEFT JOIN held h ON a.ticker = h.ticker JOIN (
       PARTITION BY right(ticker, 1) ORDER BY quantity, 'about ' || name) AS n FROM holdings)
   WHERE n <= 3 GROUP BY k) n ON n.k = right(a.ticker, 1)""", "holdings")
 
+
+def context_as_of(spark, sf_dir):
+    """A ticker and a day per ledger row, with the indicators and price known on that day.
+
+    Indicators come on every ninth day of the ledger, prices with every eleventh row, so most days have
+    neither and some tickers wait long for their first price.
+    """
+    rows = ledger(spark, sf_dir)
+    ticker = F.concat(F.lit("T"), (F.col("id") % 400).cast("string")).alias("ticker")
+    asked = rows.select(ticker, "date")
+    macro = rows.filter("datediff(date, DATE '1990-01-01') % 9 = 0").groupBy("date").agg(
+        F.count(F.lit(1)).alias("n_rows"), dollars(F.max("amount")).alias("largest"))
+    prices = rows.filter("id % 11 = 0").select(ticker, "date", F.col("amount").alias("price"))
+    held = positions(spark, sf_dir).filter(F.lit(False))
+    found = portfolio.context(asked, held, macro=macro, prices=prices)
+    return found.select("ticker", "date", dollars(F.col("price")).alias("price"), "price_date",
+                        "macro_date", "n_rows", "largest")
+
+
+add("j09_context_as_of", context_as_of, """
+WITH asked AS (SELECT DISTINCT 'T' || (id % 400) AS ticker, date FROM ledger),
+macro AS (SELECT date AS macro_date, COUNT(*) AS n_rows, CAST(MAX(amount) AS DOUBLE) AS largest
+  FROM ledger WHERE date_diff('day', DATE '1990-01-01', date) % 9 = 0 GROUP BY date),
+prices AS (SELECT 'T' || (id % 400) AS ticker, date AS price_date, MAX(amount) AS price
+  FROM ledger WHERE id % 11 = 0 GROUP BY ALL)
+SELECT a.ticker, a.date, CAST(p.price AS DOUBLE) AS price, p.price_date, m.macro_date, m.n_rows, m.largest
+FROM asked a ASOF LEFT JOIN prices p ON a.ticker = p.ticker AND a.date >= p.price_date
+ASOF LEFT JOIN macro m ON a.date >= m.macro_date""", "ledger")
+
 # ------------------------------------------------------------ windows over series
 SERIES = """series AS (SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day,
   CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2)"""

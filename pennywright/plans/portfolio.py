@@ -7,6 +7,7 @@ and pct_change.
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pennywright.functions.money import dollars
+from pennywright.operators.asof import asof_join
 from pennywright.plans.registry import named
 
 SORTS = ("equity", "ticker", "pct_change", "quantity")
@@ -87,16 +88,30 @@ def top_headlines(headlines: DataFrame, news_count: int) -> DataFrame:
     ).alias("news"))
 
 
+def macro_row(macro: DataFrame, as_of=None) -> DataFrame:
+    """One row: the newest indicators on or before `as_of` (any day); null ones if there are none."""
+    row = F.struct(*macro.columns)
+    if "date" not in macro.columns:
+        return macro.agg(F.max(row).alias("row"))
+    if as_of is not None:
+        macro = macro.filter(F.col("date") <= F.lit(as_of).cast("date"))
+    return macro.agg(F.max_by(row, F.struct("date", row)).alias("row"))
+
+
 @named("portfolio.context")
 def context(requests: DataFrame, positions: DataFrame, info: DataFrame = None,
             headlines: DataFrame = None, macro: DataFrame = None,
-            news_count: int = 3) -> DataFrame:
+            news_count: int = 3, prices: DataFrame = None, as_of=None) -> DataFrame:
     """Requested tickers with held flag, position and landed company data, a row per ticker.
 
     `info` has ticker, company_name, industry; `headlines` topic (a ticker or an
-    industry), headline and place; `macro` one row of indicators, which every row repeats.
+    industry), headline and place; `macro` indicators by `date` (or one row without); `prices`
+    ticker, date and price.  Requests with a `date` of their own get a row per ticker and date, with
+    the indicators and price known on that day; others those known on `as_of`.
     """
-    wanted = requests.select(F.upper(F.trim("ticker")).alias("ticker")).distinct()
+    dated = "date" in requests.columns
+    wanted = requests.select(
+        F.upper(F.trim("ticker")).alias("ticker"), *(["date"] if dated else [])).distinct()
     mine = positions.withColumn("ticker", F.upper("ticker"))
     result = wanted.join(
         mine.select("ticker", F.lit(True).alias("held"), "quantity", "avg_cost",
@@ -113,7 +128,23 @@ def context(requests: DataFrame, positions: DataFrame, info: DataFrame = None,
                 about = news.select(F.col("topic").alias(key), F.col("news").alias(name))
                 result = result.join(about, key, "left").withColumn(
                     name, F.coalesce(name, none))
+    if prices is not None:
+        quoted = prices.select(F.upper(F.trim("ticker")).alias("ticker"), "date", "price")
+        if dated:
+            result = asof_join(result, quoted, ["ticker"], "date", "_price")
+        else:
+            if as_of is not None:
+                quoted = quoted.filter(F.col("date") <= F.lit(as_of).cast("date"))
+            newest = F.struct("date", "price")
+            result = result.join(quoted.groupBy("ticker").agg(F.max(newest).alias("_price")), "ticker", "left")
+        result = result.withColumns({
+            "price": F.col("_price.price"), "price_date": F.col("_price.date")}).drop("_price")
     if macro is not None:
-        row = macro.limit(1).select(F.struct(*macro.columns)).scalar()
-        result = result.withColumn("_macro", row).select("*", "_macro.*").drop("_macro")
+        if dated and "date" in macro.columns:
+            result = asof_join(result, macro, [], "date", "_macro")
+        else:
+            result = result.withColumn("_macro", macro_row(macro, as_of).scalar())
+        names = {c: "macro_date" if c == "date" else c for c in macro.columns}
+        result = result.withColumns(
+            {n: F.col("_macro")[c] for c, n in names.items()}).drop("_macro")
     return result
