@@ -31,9 +31,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pennywright.llm.shared import written
+from pennywright.llm.shared import small, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -42,7 +43,9 @@ CLASSES = 64  # of lengths, in the linear program
 ROUNDS = 250  # of multiplicative weights
 STEP, RATE = 0.25, 4.0  # share of a demand that a round covers at most; fall of the weights
 SCALES = (1.0, 0.9, 0.7, 0.4, 0.0)  # of the fractional uses before rounding down
-CACHE_WORDS = 500_000  # encoded words kept by a Python worker
+CACHE_BYTES = 64_000_000  # about what the encoded words that a Python worker keeps may take
+ENTRY_BYTES = 250  # of a kept word besides its letters and ids
+CHUNK_CHARS = 1_000_000  # of the texts that are encoded at once
 WORD_END = "</w>"  # the tokenizer's mark on tokens that end a word
 #: Characters that str.split() parts at and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f\ud800-\udfff]")
@@ -64,6 +67,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes of known words
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         for token, i in vocabulary.items():
@@ -112,20 +116,22 @@ class WordEncoder:
         return _END.sub(" ", text).split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; an Arrow batch at a time, so that new words are encoded together."""
+        """Ids of each text; new words of all of them are encoded together."""
         known = self.known
-        if len(known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             known.clear()
+            self.held = 0
         split = [self._words(t) for t in texts]
         fresh: set[str] = set()
         for words in split:
             if words:
                 fresh.update(words)
-        fresh.difference_update(known)
+        fresh = {w for w in fresh if w not in known}
         plain = [w for w in fresh if w.isalpha()]
         other = list(fresh.difference(plain))
-        known.update(zip(plain, self._encode_words(plain)))
-        known.update(zip(other, self._encode(other)))
+        for words, data in ((plain, self._encode_words(plain)), (other, self._encode(other))):
+            known.update(zip(words, data))
+            self.held += sum(map(len, words)) + sum(map(len, data)) + ENTRY_BYTES * len(words)
         out = [b"".join([known[w] for w in words]) if words else b"" for words in split]
         whole = [i for i, words in enumerate(split) if words is None]
         for i, data in zip(whole, self._encode([texts[i] for i in whole])):
@@ -133,6 +139,19 @@ class WordEncoder:
         return out
 
 
+def _chunks(batch: pa.RecordBatch):
+    """The batch in runs of rows of about CHUNK_CHARS characters; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > CHUNK_CHARS:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
            ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked, ids (packed 32-bit numbers)."""
@@ -141,7 +160,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def cut(batches):
         encode = WordEncoder(tokenizer_path)
-        for batch in batches:
+        for batch in (chunk for whole in batches for chunk in _chunks(whole)):
             rows, columns = [], [[] for _ in range(5)]
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for i, data in enumerate(encode(texts)):
@@ -364,6 +383,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     slots = docs.sparkSession.createDataFrame(
         plan_slots(counts, capacity),
         "_length long, _from long, _to long, _first long, _per long, _offset long")
+    slots = small(slots)  # else a length that very many pieces have would be one task
     placed = ranked(parts).join(slots, F.expr(
         "length = _length AND _rank >= _from AND _rank < _to"))
     place = F.col("_rank") - F.col("_from")
