@@ -43,9 +43,9 @@ CLASSES = 64  # of lengths, in the linear program
 ROUNDS = 250  # of multiplicative weights
 STEP, RATE = 0.25, 4.0  # share of a demand that a round covers at most; fall of the weights
 SCALES = (1.0, 0.9, 0.7, 0.4, 0.0)  # of the fractional uses before rounding down
-CACHE_BYTES = 64_000_000  # about what the encoded words that a Python worker keeps may take
+CACHE_BYTES = 160_000_000  # about what the encoded words that a Python worker keeps may take
 ENTRY_BYTES = 250  # of a kept word besides its letters and ids
-CHUNK_CHARS = 1_000_000  # of the texts that are encoded at once
+CHUNK_CHARS = 4_000_000  # of the texts that are encoded at once
 WORD_END = "</w>"  # the tokenizer's mark on tokens that end a word
 #: Characters that str.split() parts at and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f\ud800-\udfff]")
