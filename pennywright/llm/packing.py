@@ -50,7 +50,7 @@ WORD_END = "</w>"  # the tokenizer's mark on tokens that end a word
 #: Characters that str.split() parts at and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f\ud800-\udfff]")
 _MARK = re.compile("[\u0300-\u036f]")
-_END = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?|#*$%&])")
+_END = re.compile(r"[.,;:!?|#*$%&](?<=[^\W\d_][.,;:!?|#*$%&])")  # the mark is sought first: cheaper
 
 
 class WordEncoder:
@@ -111,9 +111,9 @@ class WordEncoder:
         """
         if _ODD.search(text):
             return None
-        if not _MARK.search(text):
+        if text.isascii() or not _MARK.search(text):
             text = text.encode().lower().decode()
-        return _END.sub(" ", text).split()
+        return _END.sub(r" \g<0>", text).split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; new words of all of them are encoded together."""
@@ -132,7 +132,7 @@ class WordEncoder:
         for words, data in ((plain, self._encode_words(plain)), (other, self._encode(other))):
             known.update(zip(words, data))
             self.held += sum(map(len, words)) + sum(map(len, data)) + ENTRY_BYTES * len(words)
-        out = [b"".join([known[w] for w in words]) if words else b"" for words in split]
+        out = [b"".join(map(known.__getitem__, words)) if words else b"" for words in split]
         whole = [i for i, words in enumerate(split) if words is None]
         for i, data in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = data
