@@ -3,8 +3,10 @@ import hashlib
 import math
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -116,7 +118,8 @@ def leaves_without_tokens(docs):
     return sum(1 for r in rows if not sums[r.domain, r.lang, r.source])
 
 
-def test_base_scores_match_brute_force(docs, corpus):
+@pytest.mark.parametrize("vocabulary", [lm.VOCABULARY, 20, 0])
+def test_base_scores_match_brute_force(docs, corpus, vocabulary):
     tokens = [(i, brute.words(brute.lower(t)) + [None]) for i, t in corpus]
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in corpus}
     counts = collections.Counter(w for i, ws in tokens if not held[i] for w in ws)
@@ -124,7 +127,7 @@ def test_base_scores_match_brute_force(docs, corpus):
     want = sorted(((i, held[i], len(ws), sum(counts[w] > 0 for w in ws), n,
                     round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6))
                    for i, ws in tokens), key=repr)
-    rows = lm.score_documents(docs).collect()
+    rows = lm.score_documents(docs, vocabulary=vocabulary).collect()
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))
                    for r in rows), key=repr) == want
     assert all(r.score < 0 for r in rows)
@@ -138,19 +141,92 @@ def test_model_beats_base_on_held_out_text_with_order(spark):
     assert held and sum(r.score for r in held) > 0.5 * sum(r.base_score for r in held)
 
 
-def test_probabilities_of_known_and_unknown_events_sum_to_one(docs):
-    import numpy as np
-    train = docs.select("doc_id", "text")
+def _plain_softmax(weights, rows, bias):
+    logits = [sum(float(weights[r, k]) for r in rows) + float(b) for k, b in enumerate(bias)]
+    top = max(logits)
+    total = sum(math.exp(x - top) for x in logits)
+    return [x - top - math.log(total) for x in logits]
+
+
+@pytest.fixture(scope="module")
+def model(docs):
+    train = docs.select("doc_id", "text").filter(~lm.held_out(1, 5))
     counts = lm.count_tokens(train)
-    model = lm.fit(train, counts, rounds=1)
-    words = {bytes(r.word): r.n for r in counts.collect()}
-    rows = lm.features_of(np.array([3, 5, 9], np.uint64), np.array([True, False, False]))
-    logs = lm.class_logs(model, rows)
-    mass = np.zeros(lm.CLASSES)
-    for w, n in words.items():
-        mass[model.class_of(w)] += n + 0.5
-    mass += 0.5
-    assert np.allclose((np.exp(logs) * (mass / np.exp(model.log_mass))).sum(1), 1, atol=1e-4)
+    return lm.fit(train, counts), {bytes(r.word): r.n for r in counts.collect()}
+
+
+def test_scores_match_brute_force(docs, corpus, model, monkeypatch):
+    made, counts = model
+    monkeypatch.setattr(lm, "fit", lambda *_: made)
+    w, square = made.width, made.width ** 2
+    frequent = (w - w // 2) * w
+
+    def plain(text):
+        """One token after the other, from the definition of the features."""
+        words = brute.words(brute.lower(text)) + [""]
+        words = [x.encode() for x in words]
+        places = [made.place_of(x) for x in words]
+        out = 0.0
+        for i, word in enumerate(words):
+            own = places[i] // w
+            one = places[i - 1] if i > 0 else square
+            two = places[i - 2] if i > 1 else square
+            before = [p for p in places[: max(0, i - 2)] if p < frequent]
+            skip = before[-1] if before else square
+            hashes = [lm.word_hash(words[i - k]) if i >= k else 7 for k in (1, 2)]
+            pair = (hashes[0] * 0x9E3779B97F4A7C15 + hashes[1]) % 2 ** 64
+
+            def spread(key):
+                return ((key ^ (key >> 29)) * 0xBF58476D1CE4E5B9 % 2 ** 64 >> 24) % (4 * square)
+
+            at = 3 * (square + 1)
+            rows = [one, two + square + 1, skip + 2 * (square + 1), at + spread(pair)]
+            by_class = _plain_softmax(made.weights, rows, made.class_bias)
+            rows = [at + 4 * square + spread((own << 32) + one), at + 8 * square + spread((own << 32) + skip)]
+            by_member = _plain_softmax(made.weights, rows, made.member_bias[own])
+            out += by_class[own] + by_member[places[i] % w]
+            out += math.log((counts.get(word, 0) + 0.5) / made.mass[places[i]])
+        return out / math.log(10)
+
+    want = {(i, len(brute.words(t))): plain(t) for i, t in corpus}
+    for vocabulary in (lm.VOCABULARY, 20):
+        for r in lm.score_documents(docs, vocabulary=vocabulary).collect():
+            assert math.isclose(r.score, want[r.doc_id, r.n_tokens - 1], rel_tol=1e-3)
+
+
+def test_probabilities_of_known_and_unknown_events_sum_to_one(model):
+    made, counts = model
+    w = made.width
+    mass = np.zeros(w * w)
+    for word, n in counts.items():
+        mass[made.place_of(word)] += n + 0.5
+    mass[(w - w // 2) * w:] += 0.5  # an unknown word of the member
+    rows = np.array([[3, w * w + 5, 2 * w * w + 9, 3 * w * w + 70]])
+    by_class = np.exp(lm.softmax_logs(made.weights, rows, made.class_bias))[0]
+    total = 0
+    for c in range(w):
+        rows = np.array([[8 * w * w + c, 12 * w * w + c]])
+        by_member = np.exp(lm.softmax_logs(made.weights, rows, made.member_bias[c]))[0]
+        total += by_class[c] * (by_member * mass[c * w: c * w + w] / made.mass[c * w: c * w + w]).sum()
+    assert abs(total - 1) < 1e-3
+
+
+def test_endings_are_clustered_by_what_they_follow():
+    profiles = np.zeros((lm.ENDINGS, 4), np.int64)
+    profiles[1:40, 0], profiles[40:90, 2] = 500, 700
+    found = lm.clustered(profiles, 2)
+    assert len(set(found[1:40])) == 1 and len(set(found[40:90])) == 1 and found[1] != found[50]
+    assert set(lm.clustered(np.zeros((lm.ENDINGS, 1), np.int64), 4)) <= {0, 1, 2, 3}
+
+
+def test_counts_and_scores_do_not_depend_on_chunks(docs, model, monkeypatch):
+    made, _ = model
+    monkeypatch.setattr(lm, "fit", lambda *_: made)
+    whole = sorted(map(repr, lm.score_documents(docs).select("doc_id", "n_known", F.round("score", 4)).collect()))
+    monkeypatch.setattr(lm, "CHUNK", 50)
+    monkeypatch.setattr(lm, "KEPT_COUNTS", 10)
+    cut = sorted(map(repr, lm.score_documents(docs).select("doc_id", "n_known", F.round("score", 4)).collect()))
+    assert cut == whole
 
 
 def test_scores_of_an_empty_table(no_docs):
