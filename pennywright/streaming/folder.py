@@ -3,7 +3,9 @@
 Which contents have been seen is keyed state of the stream (in RocksDB, one small entry per content,
 kept by its checkpoint), so a batch compares its files with the state of their own hashes and
 never reads the registry.  Ids continue from one number that the batch before left behind.
-A batch costs what it brings, the thousandth like the first.
+A batch costs what it brings, the thousandth like the first.  It asks and commits its state once: new
+rows are written before they are numbered, and the state lies in a fixed number of partitions, each
+commit writing only what changed.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,6 +16,13 @@ from pennywright.streaming.batches import read_batches, write_batch
 
 REGISTRY = "id long, file_hash string, original_path string, filename string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Of a stream while it starts.  The partitions stay those of its checkpoint.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.shuffle.partitions": "12",
+}
+FOUND = "file_hash string, original_path string, filename string"
 _BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -59,19 +68,22 @@ def import_folder(spark: SparkSession, folder: str, registry: str, checkpoint: s
 
     The state belongs to the checkpoint: with a new one for an old registry all files are new.
     """
-    ids = f"{checkpoint.rstrip('/')}-ids"
+    ids, found = (f"{checkpoint.rstrip('/')}-{name}" for name in ("ids", "found"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         start = _last_id(session, ids, registry, batch_id)
-        write_batch(dense_ids(batch.filter("is_new"), "file_hash", start).select(
+        # numbering reads its rows more than once, and would ask the state each time
+        write_batch(batch.filter("is_new").drop("is_new"), found, batch_id)
+        new = session.read.schema(FOUND).parquet(f"{found}/batch_id={batch_id}")
+        write_batch(dense_ids(new, "file_hash", start).select(
             "id", "file_hash", "original_path", "filename"), registry, batch_id)
-        # counted from what was written, so that the state is asked once
-        fresh = session.read.schema(REGISTRY).parquet(f"{registry}/batch_id={batch_id}")
-        write_batch(fresh.agg(F.coalesce(F.max("id"), F.lit(start)).cast("long").alias("last")), ids, batch_id)
+        last = new.agg((F.lit(start) + F.count(F.lit(1))).cast("long").alias("last"))
+        write_batch(last, ids, batch_id)
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:  # a query takes the settings of its session when it starts
         return (
             unseen_files(file_stream(spark, folder, files_per_batch)).writeStream.outputMode("update")
@@ -79,7 +91,5 @@ def import_folder(spark: SparkSession, folder: str, registry: str, checkpoint: s
             .trigger(availableNow=True).start()
         )
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -66,3 +66,14 @@ def test_a_batch_that_runs_again_replaces_its_own_rows(spark, tmp_path):
     put(f"{base}/in", {"c.txt": "three"})
     run(spark, base)
     assert {i for i, _ in registry(spark, base)} == {1, 2, 3}
+
+
+def test_a_batch_asks_its_state_once_in_few_partitions(spark, tmp_path):
+    base = str(tmp_path)
+    put(f"{base}/in", {f"{i:02d}.txt": f"text {i}" for i in range(6)})
+    query = run(spark, base, per_batch=3)
+    states = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]]
+    assert [s["numRowsUpdated"] for s in states] == [3, 3]
+    assert {s["numShufflePartitions"] for s in states} == {12}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert {i for i, _ in registry(spark, base)} == set(range(1, 7))
