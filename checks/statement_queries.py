@@ -264,8 +264,11 @@ ISSUERS = ["robinhood", "citi", "bofa", "capital_one", "wells_fargo", "citi"]
 
 
 def card_files(spark, sf_dir):
-    """One small card statement per order; issuer by order, the sixth kind is empty."""
-    rows = ledger(spark, sf_dir)
+    """One small card statement per order; issuer by order, the sixth kind is empty.
+
+    The ledger is dealt out first, as its few file splits become many times their size.
+    """
+    rows = ledger(spark, sf_dir).repartition("id")
     k = F.col("id") % 6
     slashed = F.date_format("date", "MM/dd")
     named = F.date_format("date", "MMM d")

@@ -156,9 +156,13 @@ def billing_period(text: Column, filename: Column) -> Column:
              r"(\d{1,2})/(\d{1,2})/(\d{2})")
     anywhere = r"\b\d{1,2}/\d{1,2}/(\d{2})\b"
     dated = r"(20\d{2})-(\d{2})-\d{2}"
+    # how both ends of `span` and `closing` read; found without trying every way to reach it
+    end = rf"(?i)(?:{_MON})[a-z]*\s*[\s,\-]?\s*\d{{1,2}},?\s*20\d{{2}}"
     return F.coalesce(
-        rule(month_number(part(text, span, 1)), _int(part(text, span, 3))),
-        rule(month_number(part(text, closing, 1)), _int(part(text, closing, 3))),
+        F.when(text.rlike(end), F.coalesce(
+            rule(month_number(part(text, span, 1)), _int(part(text, span, 3))),
+            rule(month_number(part(text, closing, 1)), _int(part(text, closing, 3))),
+        )),
         rule(_int(part(text, slashed, 1)), _int(part(text, slashed, 3))),
         rule(_int(part(name, dated, 2)), _int(part(name, dated, 1))),
         rule(month_number(part(name, named, 1)), _int(part(name, named, 2))),

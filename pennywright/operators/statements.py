@@ -18,6 +18,7 @@ from pennywright.functions.money import MONEY, loan_interest, signed_type
 from pennywright.functions.text import card_issuer, strip, with_line_merchant
 from pennywright.operators.extract import line_transactions
 from pennywright.operators.windows import carry_forward
+from pennywright.sources.scratch import written
 from pennywright.sources.statement_text import is_noise
 
 FILE = ["file_id"]
@@ -417,15 +418,17 @@ def card_statements(files: DataFrame, lines: DataFrame, holder_names=()) -> Data
 
     The four known issuers read only their transactions section (none without
     one).  Other files read the section if it has lines, else the whole text.
+    The lines that can count are marked and written once, for all three readers of them.
     """
-    marked = mark_section(lines, holder_names)
-    filled = marked.filter("inside").select("file_id").distinct().withColumn("_filled", F.lit(True))
-    info = card_issuers(files).select("file_id", "issuer", "closing_month", "closing_year").join(
-        filled, "file_id", "left")
+    info = card_issuers(files).select("file_id", "issuer", "closing_month", "closing_year")
     known = F.col("issuer").isin(*fv.CARD_FORMATS)
-    wanted = F.col("inside") | (~known & F.col("_filled").isNull())
-    chosen = marked.join(info, "file_id").filter(wanted)
-    generic = line_transactions(chosen.filter(~known)).select(
+    chosen = written(mark_section(lines, holder_names).join(info, "file_id").filter(
+        F.col("inside") | ~known), "card-lines")
+    filled = chosen.filter(~known & F.col("inside")).select("file_id").distinct().withColumn(
+        "_filled", F.lit(True))
+    generic_lines = chosen.filter(~known).join(filled, "file_id", "left").filter(
+        F.col("inside") | F.col("_filled").isNull())
+    generic = line_transactions(generic_lines).select(
         "file_id", "line_no", F.col("issuer").alias("bank_name"),
         F.col("parsed_date").alias("date"), "description", "amount", "transaction_type",
         "merchant_name", "category", F.lit(None).cast(MONEY).alias("balance"), "raw_text",
