@@ -108,6 +108,10 @@ def context(requests: DataFrame, positions: DataFrame, info: DataFrame = None,
     industry), headline and place; `macro` indicators by `date` (or one row without); `prices`
     ticker, date and price.  Requests with a `date` of their own get a row per ticker and date, with
     the indicators and price known on that day; others those known on `as_of`.
+
+    Frames that grow with the tickers are joined by sorting: their files are many times smaller than
+    their rows, so that Spark would send them whole to every task.  A hot industry is split by
+    adaptive execution.
     """
     dated = "date" in requests.columns
     wanted = requests.select(
@@ -115,17 +119,17 @@ def context(requests: DataFrame, positions: DataFrame, info: DataFrame = None,
     mine = positions.withColumn("ticker", F.upper("ticker"))
     result = wanted.join(
         mine.select("ticker", F.lit(True).alias("held"), "quantity", "avg_cost",
-                    "current_price", "equity", "pct_change"),
+                    "current_price", "equity", "pct_change").hint("merge"),
         "ticker", "left",
     ).withColumn("held", F.coalesce("held", F.lit(False)))
     if info is not None:
-        result = result.join(info, "ticker", "left")
+        result = result.join(info.hint("merge"), "ticker", "left")
     if headlines is not None:
         news = top_headlines(headlines, news_count)
         none = F.array().cast("array<string>")
         for key, name in (("ticker", "company_news"), ("industry", "industry_news")):
             if key in result.columns:
-                about = news.select(F.col("topic").alias(key), F.col("news").alias(name))
+                about = news.select(F.col("topic").alias(key), F.col("news").alias(name)).hint("merge")
                 result = result.join(about, key, "left").withColumn(
                     name, F.coalesce(name, none))
     if prices is not None:
@@ -136,7 +140,7 @@ def context(requests: DataFrame, positions: DataFrame, info: DataFrame = None,
             if as_of is not None:
                 quoted = quoted.filter(F.col("date") <= F.lit(as_of).cast("date"))
             newest = F.struct("date", "price")
-            result = result.join(quoted.groupBy("ticker").agg(F.max(newest).alias("_price")), "ticker", "left")
+            result = result.join(quoted.groupBy("ticker").agg(F.max(newest).alias("_price")).hint("merge"), "ticker", "left")
         result = result.withColumns({
             "price": F.col("_price.price"), "price_date": F.col("_price.date")}).drop("_price")
     if macro is not None:

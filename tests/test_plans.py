@@ -106,3 +106,20 @@ def test_driver_contract(spark):
     assert set(oracles) <= set(queries)
     for name in ("a18_ledger_stats", "j04_latest_balance", "w02_ordinal_in_key"):
         assert queries[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_context_sends_no_frame_of_tickers_to_every_task(spark):
+    from pennywright.plans import portfolio
+    asked = spark.createDataFrame([("a ",), ("b",)], "ticker string")
+    held = spark.createDataFrame([("A", 1.0, 1.0, 2.0, 2.0, 100.0)],
+                                 "ticker string, quantity double, avg_cost double, current_price double, "
+                                 "equity double, pct_change double")
+    info = spark.createDataFrame([("A", "Alpha", "x"), ("B", "Beta", None)],
+                                 "ticker string, company_name string, industry string")
+    headlines = spark.createDataFrame([("x", "news of x", 1), ("B", "news of b", 1)],
+                                      "topic string, headline string, place int")
+    found = portfolio.context(asked, held, info, headlines)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 4
+    rows = {r.ticker: (r.held, r.company_name, r.company_news, r.industry_news) for r in found.collect()}
+    assert rows == {"A": (True, "Alpha", [], ["news of x"]), "B": (False, "Beta", ["news of b"], [])}
