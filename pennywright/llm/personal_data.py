@@ -2,10 +2,11 @@
 
 The patterns find e-mail addresses, IPv4 addresses, card and phone numbers; their spans always
 stay.  The tagger (`char_tagger`, a bidirectional LSTM under a CRF) is trained from labelled spans
-and adds spans such as `jan at mail dot example dot com` or `(578) 555-6437`.  It reads every
-window of a text that holds a trigger: a digit, an at sign, or a written-out dot or at.  Each span of
-the kinds in question holds one, so windows without cannot add any.  Windows overlap by half; a
-span that a window cuts is completed from its neighbour.  Of all spans of a text those
+and adds spans such as `jan at mail dot example dot com` or `(578) 555-6437`.  It adds what reading
+every window would: each plausible span holds a trigger (a digit, an at sign, or a written-out dot or
+at), so windows with one are read first, and from each window with any span its neighbours are, until
+no window that overlaps or touches such a one is unread.  Windows overlap by half; a
+span that a window cuts is completed from its neighbours.  Of all spans of a text those
 of the largest total score are taken, none overlapping another or one of the patterns.
 
 Added spans must have the digits that their kind needs (a card's pass the Luhn test).
@@ -47,7 +48,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Where a pattern is likely to match, for Spark's regular expressions.
 _LIKELY = (r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9]|\+[0-9][ ().0-9-]{6}|[0-9]{13}"
            r"|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}")
-_TRIGGER = re.compile(r"[0-9@]|\b[dD][oO][tT]\b|[\[({<] ?(?:at|AT|dot|DOT) ?[\])}>]")
+#: Every plausible span holds one.  The last is a written-out at before a domain with a plain dot.
+_TRIGGER = re.compile(r"(?i:[0-9@]|\bdot\b|[\[({<] ?(?:at|dot) ?[\])}>]"
+                      r"| at(?= ++[\w-]++ ?(?:[\[({<] ?)?\.))")
 
 
 def luhn(digits: str) -> bool:
@@ -300,16 +303,11 @@ def sample(docs: DataFrame, most: int = SAMPLE, seed: int = SEED) -> list[tuple[
 def windows_of(text: str) -> list[int]:
     """Starts of the windows that hold a trigger; each place of a text lies in two windows."""
     tiles, at = set(), 0
-    while True:
-        m = _TRIGGER.search(text, at)
-        if not m:
-            break
+    while m := _TRIGGER.search(text, at):
         tile = m.start() // STRIDE
         tiles.update((tile - 1, tile))
         at = (tile + 1) * STRIDE
-        if at - 4 > m.start():
-            at -= 4  # a written-out dot or at may begin before the next tile
-    return [max(t, 0) * STRIDE for t in sorted(tiles) if t >= 0 or len(text) <= WINDOW]
+    return [t * STRIDE for t in sorted(tiles) if t >= 0]
 
 
 def _spans_in(tags: np.ndarray, e: np.ndarray, tagger: Tagger, start: int, size: int) -> list:
@@ -410,9 +408,12 @@ def _inside_number(text: str, i: int, j: int) -> bool:
 def added_spans(texts: list[str], base: list[list], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
     """Spans that the tagger adds to those of the patterns, by text."""
     work = [(n, s) for n, t in enumerate(texts) for s in windows_of(t)]
+    read = set(work)
     found: list[list] = [[] for _ in texts]
-    for at in range(0, len(work), BATCH_WINDOWS):
+    at = 0
+    while at < len(work):
         some = work[at: at + BATCH_WINDOWS]
+        at += len(some)
         ids = np.full((len(some), WINDOW), PAD, np.int16)
         sizes = []
         for row, (n, s) in enumerate(some):
@@ -423,6 +424,11 @@ def added_spans(texts: list[str], base: list[list], tagger: Tagger) -> list[list
         for row in np.flatnonzero(tags.any(axis=1)):
             n, s = some[row]
             found[n] += _spans_in(tags[row], e[:, row], tagger, s, sizes[row])
+            # spans of these windows may overlap or touch those
+            for beside in (s - 2 * STRIDE, s - STRIDE, s + STRIDE, s + 2 * STRIDE):
+                if 0 <= beside < len(texts[n]) and (n, beside) not in read:
+                    read.add((n, beside))
+                    work.append((n, beside))
     out = []
     for text, fixed, spans in zip(texts, base, found):
         taken = sorted((i, j) for _, i, j in fixed)

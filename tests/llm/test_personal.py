@@ -171,3 +171,53 @@ def test_sample_takes_whole_words_and_both_sorts(spark):
     assert 25 <= len(got) <= 30 and sum(bool(s) for _, s in got) >= 15
     assert got == pd.sample(docs.repartition(3), 30)
     assert all(s == sorted(plain_base(t), key=lambda x: x[1:]) for t, s in got)
+
+
+class Marks:
+    """A tagger that marks runs of some characters, as others of the window would have it."""
+
+    def __init__(self, marked):
+        self.marked = pd.character_ids(marked)
+
+    def moves(self):
+        return np.zeros((9, 9), np.float32), np.zeros(9, np.float32)
+
+    def decode(self, ids):
+        inside = np.isin(ids, self.marked)
+        begins = inside & ~np.pad(inside, ((0, 0), (1, 0)))[:, :-1]
+        begins[:, 0] = False  # cut by the window's start
+        kind = 3 if "+" == chr(int(self.marked[0]) + 31) else 0
+        tags = np.where(begins, 2 * kind + 1, np.where(inside, 2 * kind + 2, 0)).astype(np.int8)
+        e = np.zeros((ids.shape[1], len(ids), 9), np.float32)
+        e[:, :, 1:] = 1.0
+        return tags, e
+
+
+def every_window(text):
+    return list(range(0, len(text), pd.STRIDE))
+
+
+def test_written_out_addresses_with_plain_dots_are_read(monkeypatch):
+    for text in ("write to jan at mail.example now", "jan AT mail.example", "jan at  mail [.] example", "jan [At] mail.example",
+                 "jan (at) mail.example", "jan at mail dOT example"):
+        assert pd.windows_of("x " * 300 + text), text
+    assert not pd.windows_of("look at the mail. Then " * 3 + "x " * 200)
+
+
+@pytest.mark.parametrize("marked", ["+0123456789-() ", "abcdefghijklmnopqrstuvwxyz@. "])
+def test_added_spans_are_those_of_reading_every_window(monkeypatch, marked):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randrange(1, 9)):
+            parts.append(rng.choice([
+                " " * rng.randrange(200), "( ) - " * rng.randrange(40), "WORD, " * rng.randrange(40),
+                "(578) 555-6437", "jan at mail.example", "jan" * rng.randrange(60) + " at mail.example.com",
+                "a@b.c", "!", "\n", "jan [at] mail [dot] example", "long" * rng.randrange(50)]))
+        texts.append("".join(parts))
+    tagger, none = Marks(marked), [[] for _ in texts]
+    some = pd.added_spans(texts, none, tagger)
+    monkeypatch.setattr(pd, "windows_of", every_window)
+    assert some == pd.added_spans(texts, none, tagger)
+    assert sum(map(len, some)) > 5
