@@ -21,8 +21,9 @@ infrequent tokens keeps half a count for unknown ones, so that probabilities of
 one unknown event per such member sum to one.
 
 Training is by distributed gradient updates: in each round every partition of that round's
-documents runs mini-batch gradient steps from the current weights, the features taking turns (block
-coordinates), and the weights are averaged, each row weighted by how often a partition used it.  Every training document is used in one round.
+documents runs mini-batch gradient steps from the current weights, and the weights are averaged,
+each row weighted by how often a partition used it.  Every training document is used in one round, and
+every token of it trains all of its features.
 
 Scoring reads texts where they are.  The most frequent words' counts (VOCABULARY words at most) go
 to every task as numbers; every other word of a document is joined with the corpus counts by
@@ -47,7 +48,7 @@ from pennywright.llm.shared import written
 
 ROUNDS = 2
 STEP = 8192  # tokens of a gradient step
-RATE = 0.25
+RATE = 0.5  # shared by the features of a token
 LARGEST = 10.0  # of a weight
 CELL = 256  # rows of weights that are averaged together
 CHUNK = 1_500_000  # characters of the texts that are handled at once
@@ -191,26 +192,26 @@ class Trainer:
         self.weights = model.weights.copy()
         self.seen = np.full(len(self.weights), seen, np.float32)  # mean squares of gradients
         self.used = np.zeros(len(self.weights), np.int64)  # tokens that used a row
-        self.turn = 0
 
-    def step(self, rows: np.ndarray, targets: np.ndarray, bias: np.ndarray, turn: int) -> None:
-        """A gradient step over all tokens for one feature's weights; the features take turns."""
+    def step(self, rows: np.ndarray, targets: np.ndarray, bias: np.ndarray) -> None:
+        """A gradient step over all tokens, for the weights of all their features."""
         gradient, sums = softmax(self.weights, rows, bias)
         gradient /= sums[:, None]
         gradient[np.arange(len(rows)), targets] -= 1
-        keys = rows[:, turn % rows.shape[1]]
-        near = keys - keys.min()
-        # small numbers are sorted much faster
-        order = np.argsort(near.astype(np.uint16) if near.max() < 1 << 16 else near, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        total = np.add.reduceat(gradient.take(order, axis=0), first, axis=0)
-        at = keys[first]
-        self.used[at] += np.diff(np.r_[first, len(keys)])
-        seen = self.seen[at] + np.einsum("ij,ij->i", total, total) / total.shape[1]
-        self.seen[at] = seen
-        total *= (RATE / np.sqrt(seen))[:, None]
-        self.weights[at] = np.clip(self.weights.take(at, axis=0) - total, -LARGEST, LARGEST)
+        for f in range(rows.shape[1]):
+            keys = rows[:, f]
+            near = keys - keys.min()
+            # small numbers are sorted much faster
+            order = np.argsort(near.astype(np.uint16) if near.max() < 1 << 16 else near, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            total = np.add.reduceat(gradient.take(order, axis=0), first, axis=0)
+            at = keys[first]
+            self.used[at] += np.diff(np.r_[first, len(keys)])
+            seen = self.seen[at] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+            self.seen[at] = seen
+            total *= (RATE / rows.shape[1] / np.sqrt(seen))[:, None]
+            self.weights[at] = np.clip(self.weights.take(at, axis=0) - total, -LARGEST, LARGEST)
 
     def texts(self, texts) -> None:
         """Train on whole texts; steps may span them."""
@@ -222,9 +223,8 @@ class Trainer:
         classes, members = np.divmod(places, model.width)
         for i in range(0, len(ids), STEP):
             part = slice(i, i + STEP)
-            self.step(by_class[part], classes[part], model.class_bias, self.turn)
-            self.step(by_member[part], members[part], model.member_bias[classes[part]], self.turn)
-            self.turn += 1
+            self.step(by_class[part], classes[part], model.class_bias)
+            self.step(by_member[part], members[part], model.member_bias[classes[part]])
 
 
 def flat(split: list[list[bytes]]):

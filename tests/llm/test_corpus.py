@@ -250,3 +250,17 @@ def test_pipeline_stages(spark, docs, tmp_path):
     out = corpus_pipeline.run(spark, path)
     got = {r.doc_id for r in out.collect()}
     assert got and got == {r.doc_id for r in kept.collect()}
+
+
+def test_every_token_trains_all_of_its_features():
+    width = 8
+    model = lm.Model(width, {lm.END: 0, b"a": 1, b"b": 2}, np.full(lm.ENDINGS, width - 1), np.ones(width * width),
+                     np.zeros((lm.table_rows(width), width), np.float32))
+    trainer = lm.Trainer(model, 1e-2)
+    texts = ["a b a word other a b", "b word a"]
+    trainer.texts(texts)
+    words, ids, starts, _ = lm.flat([lm.tokens_of(t) for t in texts])
+    hashes, places = lm.encoded(model, words)
+    rows = np.hstack(lm.features_of(width, hashes[ids], places[ids], starts))
+    assert (trainer.used == np.bincount(rows.ravel(), minlength=len(trainer.used))).all()
+    assert trainer.weights[np.unique(rows)].any(axis=1).all()
