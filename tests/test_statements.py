@@ -2,6 +2,8 @@
 
 import datetime
 
+from pyspark.sql import functions as F
+
 from pennywright.operators import statements as st
 from pennywright.plans.ingest import ingest_files
 from pennywright.sources import statement_text as source
@@ -151,3 +153,18 @@ def test_encodings(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes("CAFÉ".encode("latin-1"))
     texts = source.read_text(spark, str(tmp_path)).select("content").collect()
     assert [t.content for t in texts] == ["CAFÉ", "CAFÉ"]
+
+
+def test_card_lines_are_marked_once(spark):
+    rows = card(spark, "some bank\n2024-03-01 REFUND -$12.50")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "Window" not in plan  # they are read from where they were written
+
+
+def test_period_of_a_span_needs_its_end(spark):
+    from pennywright.functions.dates import billing_period
+    texts = ["Dec 6, 2025 - Jan 5, 2026", "Closing Date: March 7 2024", "May to June 1 2 24, closing date 5/6/2023",
+             "July 4", "from Nov 2 to DECEMBER, 31,2024"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select(
+        "i", billing_period(F.col("t"), F.lit("x.pdf")).alias("p")).orderBy("i").collect()
+    assert [tuple(r.p) for r in rows] == [(1, 2026), (3, 2024), (5, 2023), (None, 2025), (12, 2024)]
