@@ -6,8 +6,8 @@ sets reaches a threshold.
 1. Documents with equal sets are one class, found by a digest of the set.
 2. Classes that can link are brought together: the n-grams are dealt by hash into M parts,
    M a little more than the number of differences that a pair may have, so that at least
-   one part is equal in both.  Equal parts make candidate edges, their components are
-   candidate groups.  M comes from a ladder of values by set size; a class takes part at each M
+   one part is equal in both.  Of a set's parts those of most n-grams are sent, one more than
+   can differ.  Equal parts make candidate edges, their components are candidate groups.  M comes from a ladder of values by set size; a class takes part at each M
    that a partner's size may have.  No pair above the threshold is missed.
 3. A candidate group (cut into blocks of bounded size where it is large) is joined with a
    signature tree: leaves are token bitmaps with set sizes, inner nodes hold the OR of their
@@ -124,11 +124,18 @@ class Ladder:
         """At least so many parts are equal in a linked pair that meets at this rung."""
         return parts - int((parts - 4) / 1.1)
 
+    def unequal_parts(self, parts: int, size: int) -> int:
+        """At most so many parts of a set differ from those of a partner that it meets at this rung."""
+        return min(self.differences(size), int((parts - 4) / 1.1 + 1e-6))
+
 
 def part_signatures(grams: np.ndarray, ladder: Ladder) -> np.ndarray:
-    """One hash per rung and part of a set.
+    """Hashes of parts of a set, for each rung one more than can differ from a partner's.
 
-    An empty part counts only if the set has so many that all equal parts could be empty.
+    These are of the parts of most n-grams, which other sets have least by chance, then least
+    hash: an order in which equal parts have one place, so that the first part that two sets
+    share is among them, as no more than can differ come before it in either.  An empty part counts
+    only if the set has so many that all equal parts could be empty; then all parts are given.
     """
     out = []
     for parts in ladder.rungs(len(grams)):
@@ -137,11 +144,16 @@ def part_signatures(grams: np.ndarray, ladder: Ladder) -> np.ndarray:
         np.add.at(sums, at, _mixed(grams ^ np.uint64(parts)))  # order does not matter
         sizes = np.bincount(at, minlength=parts)
         keep = sizes > 0
+        least = ladder.unequal_parts(parts, len(grams)) + 1
         if parts - int(keep.sum()) >= ladder.equal_parts(parts):
             keep[:] = True
+            least = parts
         where = np.flatnonzero(keep).astype(np.uint64)
         tag = where * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(parts)
-        out.append(_mixed(sums[keep] + _mixed(tag)))
+        found = _mixed(sums[keep] + _mixed(tag))
+        if least < len(found):
+            found = found[np.lexsort((found, -sizes[keep]))[:least]]
+        out.append(found)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -356,8 +368,10 @@ def _combined(sigs: np.ndarray, shorts: np.ndarray) -> pa.RecordBatch:
     a, b = edges["a"].to_numpy(), edges["b"].to_numpy()
     own = _mixed(_mixed(a.view(np.uint64)) + b.view(np.uint64)).view(np.int64)
     heads = int(head.sum())
+    sigs, shorts = sigs[head], shorts[head]
+    order = np.argsort(shorts, kind="stable")  # rows of a set one after the other compress better
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.r_[sigs[head], own]), pa.array(np.r_[shorts[head], b]),
+        [pa.array(np.r_[sigs[order], own]), pa.array(np.r_[shorts[order], b]),
          pa.array(np.r_[np.zeros(heads, np.int64), a], mask=np.arange(heads + len(a)) < heads)],
         ["sig", "short", "a"])
 
@@ -441,8 +455,9 @@ def _links_across(teams: DataFrame, part: DataFrame, num: int, den: int) -> Data
     rows = teams.join(small(names), ["team", "rep"]).withColumn("bin", F.floor(
         F.log("size") / F.log(F.lit(den / num))).cast("int"))
     asking = rows.filter("label <> main")
-    rooms = asking.groupBy("team", "bin").agg(
-        F.ceil(F.sum("size") / BLOCK).cast("int").alias("rooms"))
+    # one narrow row for each team and size bin: sets are not shuffled to find their rooms either
+    rooms = small(written(asking.groupBy("team", "bin").agg(
+        F.ceil(F.sum("size") / BLOCK).cast("int").alias("rooms")), "join-rooms"))
     room = F.pmod(F.xxhash64("rep"), F.col("rooms")).cast("int")
     left = asking.join(rooms, ["team", "bin"]).select(
         "team", "bin", room.alias("room"), F.lit(0).alias("side"), "rep", "label", "grams")

@@ -43,6 +43,36 @@ def test_signatures_meet_for_every_pair_above_the_threshold():
                         nj.part_signatures(b, ladder).tolist())
 
 
+def test_a_set_sends_one_signature_more_than_parts_can_differ():
+    rng = np.random.default_rng(4)
+    ladder = nj.Ladder(80, 100)
+    for size in (40, 120, 310, 900, 4000):
+        grams = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        sent = len(nj.part_signatures(grams, ladder))
+        assert sent <= len(ladder.rungs(size)) * (ladder.differences(size) + 1)
+        for small in range(-(-size * 80 // 100), size + 1):  # sizes of partners
+            rung = ladder.parts(ladder.differences(small))
+            assert rung in ladder.rungs(size)
+            assert ladder.unequal_parts(rung, size) >= ladder.differences(small)
+
+
+def test_rows_of_a_set_are_sent_one_after_the_other():
+    sigs = np.array([5, 1, 3, 2, 4, 6], np.uint64)
+    rows = nj._combined(sigs, np.array([7, 7, 8, 8, 7, 8])).to_pydict()
+    assert rows["short"] == [7, 7, 7, 8, 8, 8] and rows["sig"] == [1, 4, 5, 2, 3, 6]
+
+
+def test_sets_are_not_shuffled_to_find_their_rooms(spark):
+    grams = np.arange(50, dtype=np.uint64).tobytes()
+    teams = spark.createDataFrame(
+        [(1, 2, r, 50 + r % 9, grams) for r in range(40)],
+        "team long, blocks int, rep long, size long, grams binary")
+    label = spark.createDataFrame([(r, 0) for r in range(20)], "rep long, label long")
+    plan = nj._links_across(teams, label, 80, 100)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and all("rightHint=(strategy=broadcast)" in line for line in joins)
+
+
 def test_tree_finds_all_links():
     rng = random.Random(2)
     for _ in range(10):
