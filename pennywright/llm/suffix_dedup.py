@@ -8,8 +8,9 @@ document of smaller id, or earlier in the same document.
    140 bytes for some 40 windows.
 2. Anchors that occur in one text only, once, cannot repeat and are left out.  Contexts of
    the others are dealt by anchor, so that all occurrences of a window meet in one task.
-3. A task goes through its anchors in batches of whole anchors.  Of the distinct contexts of a
-   batch it builds a run-length index: the Burrows-Wheeler transform of the contexts, kept as
+3. A task goes through its anchors in batches of whole anchors.  Distinct contexts that agree
+   with no other of their anchor in half of what a window has before it, or after it, share no
+   window and are left out.  Of the others of a batch it builds a run-length index: the Burrows-Wheeler transform of the contexts, kept as
    runs with the LF mapping of each run's start, text positions sampled at run ends, and
    the rank intervals of strings of WIDTH bytes.  The contexts are then streamed through the
    index backwards, all at once: each LF step gives the rank of the next suffix, its interval
@@ -80,10 +81,10 @@ def _anchors_of(data: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.nd
 
 
 def contexts_of(data: bytes, width: int = WIDTH, k: int = K):
-    """(anchor, first window, number of windows, again) of the contexts of a text, as arrays.
+    """(anchor, first window, number of windows, again, at) of the contexts of a text, as arrays.
 
     again: windows of the context may be equal to each other; then the anchor is met at
-    several places.
+    several places.  at: the first of these, in bytes from the first window.
     """
     found = []
     raw = np.frombuffer(data, np.uint8)
@@ -96,10 +97,10 @@ def contexts_of(data: bytes, width: int = WIDTH, k: int = K):
             first = np.concatenate([np.arange(f, f + s, LONGEST) for f, s in zip(first, size)])
             size = np.diff(np.append(first, n))
         again = place[first] != place[first + size - 1]
-        found.append((anchors[first], first + at, size, again))
+        found.append((anchors[first], first + at, size, again, place[first] - first))
     if not found:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none.astype(bool)
+        return none.astype(np.uint64), none, none, none.astype(bool), none
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -260,7 +261,7 @@ def _anchor_rows(keyed: DataFrame, width: int, k: int) -> DataFrame:
                 if key in seen:
                     continue
                 seen.add(key)
-                anchors, _, _, own = contexts_of(text.encode(), width, k)
+                anchors, _, _, own, _ = contexts_of(text.encode(), width, k)
                 if not len(anchors):
                     continue
                 found, at, n = np.unique(anchors, return_inverse=True, return_counts=True)
@@ -278,7 +279,10 @@ def _anchor_rows(keyed: DataFrame, width: int, k: int) -> DataFrame:
 
 
 def _context_rows(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """route, __sd_id, __sd_key, start, own, context of rows that carry their anchors to keep."""
+    """route, __sd_id, __sd_key, start, at, context of rows that carry their anchors to keep.
+
+    at: the place of the anchor in the context, null where it is met at several places.
+    """
     def run(batches):
         for batch in batches:
             rows = []
@@ -286,18 +290,18 @@ def _context_rows(docs: DataFrame, width: int, k: int) -> DataFrame:
                     "__sd_id", "__sd_key", "__sd_text", "kept")]):
                 data = text.encode()
                 hot = {a["anchor"]: a["hot"] for a in kept}
-                anchors, first, size, own = contexts_of(data, width, k)
-                for a, f, s, o in zip(anchors.view(np.int64).tolist(), first.tolist(),
-                                      size.tolist(), own.tolist()):
+                anchors, first, size, own, at = contexts_of(data, width, k)
+                for a, f, s, o, p in zip(anchors.view(np.int64).tolist(), first.tolist(),
+                                         size.tolist(), own.tolist(), at.tolist()):
                     if a not in hot:
                         continue
                     if hot[a]:
                         for w in range(f, f + s):
                             part = data[w: w + width]
                             route = xxhash.xxh3_64_intdigest(part) - 2**63
-                            rows.append((route, row_id, key, w, False, part))
+                            rows.append((route, row_id, key, w, 0, part))
                     else:
-                        rows.append((a, row_id, key, f, o, data[f: f + s + width - 1]))
+                        rows.append((a, row_id, key, f, None if o else p, data[f: f + s + width - 1]))
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows = []
@@ -305,31 +309,56 @@ def _context_rows(docs: DataFrame, width: int, k: int) -> DataFrame:
                 yield _batch(rows)
 
     def _batch(rows):
-        kinds = (*[pa.int64()] * 4, pa.bool_(), pa.binary())
+        kinds = (*[pa.int64()] * 4, pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-            ["route", "__sd_id", "__sd_key", "start", "own", "context"])
+            ["route", "__sd_id", "__sd_key", "start", "at", "context"])
 
     return docs.mapInArrow(run, "route long, __sd_id long, __sd_key long, start long, "
-                                "own boolean, context binary")
+                                "at int, context binary")
 
 
-def _marks(contexts: DataFrame, width: int, batch_bytes: int) -> DataFrame:
+def sharing(group: list[tuple[int | None, bytes]], width: int, k: int) -> list[bool]:
+    """Which of the distinct contexts (at, bytes) of an anchor may share a window with another.
+
+    Equal windows have the anchor at the same place, so the bytes of at least half of the rest
+    before it, or of half after it, are equal in both.  Where a context meets its anchor at several
+    places, every one may.
+    """
+    if any(at is None for at, _ in group):
+        return [True] * len(group)
+    half = (width - k) // 2
+    held: dict[bytes, int] = {}
+    out = [False] * len(group)
+    for side in (0, 1):
+        held.clear()
+        for i, (at, context) in enumerate(group):
+            low, high = (at, at + k + half) if side else (at - half, at + k)
+            if low >= 0 and high <= len(context):
+                other = held.setdefault(context[low:high], i)
+                if other != i:
+                    out[i] = out[other] = True
+    return out
+
+
+def _marks(contexts: DataFrame, width: int, k: int, batch_bytes: int) -> DataFrame:
     """__sd_id, __sd_key, start, n: runs of n windows that also start earlier."""
     def run(batches):
         marks, held = [], []  # held: first occurrences of the batch's distinct contexts
         size, route, seen, group = 0, None, {}, []
 
         def close():
-            """Put the distinct contexts of an anchor into the batch.
+            """Put the distinct contexts of an anchor that may share windows into the batch.
 
             A single one has no windows in common with others, and unless its anchor is met in
             it more than once none with itself.
             """
             nonlocal size
-            if len(group) > 1 or (group and group[0][4]):
-                held.extend(group)
-                size += sum(len(g[3]) for g in group)
+            if len(group) > 1 or (group and group[0][4] is None):
+                shared = sharing([(g[4], g[3]) for g in group], width, k)
+                kept = [g for g, s in zip(group, shared) if s]
+                held.extend(kept)
+                size += sum(len(g[3]) for g in kept)
             group.clear()
 
         def flush():
@@ -346,8 +375,8 @@ def _marks(contexts: DataFrame, width: int, batch_bytes: int) -> DataFrame:
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in (
-                "route", "__sd_id", "__sd_key", "start", "context", "own")]
-            for r, row_id, key, start, context, own in zip(*columns):
+                "route", "__sd_id", "__sd_key", "start", "context", "at")]
+            for r, row_id, key, start, context, at in zip(*columns):
                 if r != route:
                     close()
                     route, seen = r, {}
@@ -358,7 +387,7 @@ def _marks(contexts: DataFrame, width: int, batch_bytes: int) -> DataFrame:
                 first = seen.get(context)
                 if first is None:
                     seen[context] = (row_id, start)
-                    group.append((row_id, key, start, context, own))
+                    group.append((row_id, key, start, context, at))
                 elif (row_id, start) > first:
                     marks.append((row_id, key, start, len(context) - width + 1))
             if len(marks) > 50_000:
@@ -406,7 +435,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K, hot: int = HOT,
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed.repartition(parts, "__sd_id", "__sd_key")
     marks = _marks(_context_rows(texts.join(kept, ["__sd_id", "__sd_key"]), width, k),
-                   width, batch_bytes)
+                   width, k, batch_bytes)
     marks = marks.groupBy("__sd_id", "__sd_key").agg(
         F.collect_set(F.struct("start", "n")).alias("marks"))
     info = names.join(first, "__sd_key").select(

@@ -215,3 +215,47 @@ def test_signatures_are_combined_before_they_are_dealt(spark):
     assert rows.groupBy("sig").count().agg(F.max("count")).first()[0] == 1
     edges = rows.filter("a IS NOT NULL")
     assert 79 <= edges.count() == edges.select("a", "short").distinct().count()
+
+
+def test_contexts_that_share_half_a_window_go_on():
+    anchor = b"0123456789abcdef"
+    left, right = b"l" * 42, b"r" * 42
+    group = [(42, left + anchor + b"x" * 42), (50, b"y" * 8 + left + anchor + b"z" * 34),
+             (42, b"m" * 42 + anchor + right), (0, anchor + right + b"s" * 42),
+             (42, b"n" * 42 + anchor + b"t" * 42), (41, b"l" * 41 + anchor + b"u" * 43)]
+    assert sd.sharing(group, 100, 16) == [True, True, True, True, False, False]
+    assert sd.sharing(group + [(None, anchor * 9)], 100, 16) == [True] * 7
+
+
+def test_no_shared_window_is_left_out():
+    rng = random.Random(5)
+    for _ in range(300):
+        base = bytes(rng.choice(b"ab") for _ in range(60))
+        texts = {base[rng.randrange(20):] + bytes(rng.choice(b"ab") for _ in range(20)) for _ in range(4)}
+        met = {}
+        for text in texts:
+            for a, f, s, own, at in zip(*[c.tolist() for c in sd.contexts_of(text, 20, 4)]):
+                context = text[f: f + s + 19]
+                assert context[at: at + 4] == text[f + at: f + at + 4]
+                met.setdefault(a, {})[context] = None if own else at
+        for group in met.values():
+            shared = sd.sharing([(at, c) for c, at in group.items()], 20, 4)
+            windows = [{c[i: i + 20] for i in range(len(c) - 19)} for c in group]
+            for i, w in enumerate(windows):
+                if any(w & v for j, v in enumerate(windows) if j != i):
+                    assert shared[i]
+
+
+def test_only_contexts_that_may_share_windows_are_indexed(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    common = word(30)  # of many texts, but no passage of 100 bytes
+    docs = spark.createDataFrame(
+        [(i, word(150) + common + word(150)) for i in range(30)], "doc_id long, text string").coalesce(1)
+
+    def refuse(strings, width):
+        raise RuntimeError("indexed")
+
+    monkeypatch.setattr(sd, "repeated_windows", refuse)
+    found = sd.digest_repeats(docs).collect()
+    assert len(found) == 30 and all(r.n_removed == 0 for r in found)
