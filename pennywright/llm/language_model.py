@@ -36,7 +36,9 @@ vocabulary is empty.  An empty table gives no rows.  Other columns are left out.
 """
 
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -233,13 +235,12 @@ def flat(split: list[list[bytes]]):
     for words in split:
         every += words
         every.append(END)
-    distinct = list(dict.fromkeys(every))
-    index = dict(zip(distinct, range(len(distinct))))
+    index = defaultdict(count().__next__)  # numbers tokens as they are first looked up
     ids = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
     sizes = np.array([len(words) + 1 for words in split])
     starts = np.zeros(len(ids), bool)
     starts[np.cumsum(sizes) - sizes] = True
-    return distinct, ids, starts, sizes
+    return list(index), ids, starts, sizes
 
 
 def encoded(model: Model, words: list[bytes]):

@@ -264,3 +264,25 @@ def test_every_token_trains_all_of_its_features():
     rows = np.hstack(lm.features_of(width, hashes[ids], places[ids], starts))
     assert (trainer.used == np.bincount(rows.ravel(), minlength=len(trainer.used))).all()
     assert trainer.weights[np.unique(rows)].any(axis=1).all()
+
+
+def test_tokens_are_looked_up_once_each(monkeypatch):
+    looked = []
+
+    class Watched(dict):
+        def __init__(self, make):
+            self.make = make
+
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+        def __missing__(self, word):
+            self[word] = self.make()
+            return dict.__getitem__(self, word)
+
+    monkeypatch.setattr(lm, "defaultdict", Watched)
+    distinct, ids, starts, sizes = lm.flat([[b"b", b"a", b"b"], [], [b"c", b"a"]])
+    assert distinct == [b"b", b"a", b"", b"c"] and ids.tolist() == [0, 1, 0, 2, 2, 3, 1, 2]
+    assert starts.tolist() == [True, False, False, False, True, True, False, False]
+    assert sizes.tolist() == [4, 1, 3] and len(looked) == len(ids)
