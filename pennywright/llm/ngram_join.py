@@ -40,6 +40,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -49,7 +50,9 @@ from pennywright.llm.shared import small, written
 BITS = 2048  # of a token bitmap
 FANOUT = 8
 BLOCK = 1_000_000  # n-grams of a block
-PIECE = 1000  # texts split into words at once
+KNOWN = 100_000  # words whose hashes a task keeps
+HELD = 4_000_000  # bytes of sets that a task takes or sends at once
+COMBINED = 500_000  # signatures, about, that a task combines
 BATCH = 65_536  # rows of signatures sent at once
 PIVOTS = 8  # documents, at most, that all blocks of a least n-gram have
 RUNG = 1.6  # ratio of the ladder of part counts
@@ -58,23 +61,30 @@ RUNG = 1.6  # ratio of the ladder of part counts
 # ---- sets -------------------------------------------------------------------------------
 
 
+class Hashes(dict):
+    """Hashes of words by word, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
 class Shingler:
-    """Distinct n-gram hashes (64 bit, sorted) of texts; words are hashed once per batch."""
+    """Distinct n-gram hashes (64 bit, sorted) of texts, one text after the other.
+
+    No more is held than the words of one text and KNOWN hashes.
+    """
 
     def __init__(self, n: int):
         self.n = n
+        self.known = Hashes()
 
-    def __call__(self, texts) -> list[np.ndarray]:
-        known, out = {}, []
-        for i in range(0, len(texts), PIECE):  # the words of a piece are held at once
-            split = [(t or "").encode().lower().split() for t in texts[i: i + PIECE]]
-            distinct = set()
-            for words in split:
-                distinct.update(words)
-            known.update((w, xxhash.xxh64_intdigest(w)) for w in distinct - known.keys())
-            out += [self._grams(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-                    for words in split]
-        return out
+    def __call__(self, texts):
+        for text in texts:
+            words = (text or "").encode().lower().split()
+            yield self._grams(np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)))
 
     def _grams(self, h: np.ndarray) -> np.ndarray:
         if not len(h):
@@ -275,6 +285,29 @@ def links_of_block(sets: list[np.ndarray], num: int, den: int) -> list[int]:
 # ---- the join on Spark ------------------------------------------------------------------
 
 
+def _texts(batch: pa.RecordBatch):
+    """Texts of a batch one by one: as Python strings they may take four times the batch."""
+    return (t.as_py() for t in batch.column("text"))
+
+
+def _slices(batch: pa.RecordBatch, sizes):
+    """The batch in runs of rows of HELD bytes or, where a row is larger, of one row."""
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > HELD:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def _sliced(batches):
+    """Batches with a column grams in slices, so that few sets are Python values at once."""
+    for batch in batches:
+        yield from _slices(batch, pc.binary_length(batch.column("grams")).to_pylist())
+
+
 def _groups(batches, keys: list[str], unique: str):
     """Runs of rows with equal keys, as lists of column values, from sorted Arrow batches.
 
@@ -309,10 +342,12 @@ def sized(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         shingle = Shingler(n)
         for batch in batches:
-            sets = shingle(batch.column("text").to_pylist())
-            digests = [_digest(s) if len(s) else None for s in sets]
+            sizes, digests = [], []
+            for grams in shingle(_texts(batch)):
+                sizes.append(len(grams))
+                digests.append(_digest(grams) if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(digests, pa.binary()), pa.array(map(_short, digests), pa.int64())],
                 ["doc_id", "n_shingles", "digest", "short"])
 
@@ -329,29 +364,38 @@ def _short(digest: bytes | None) -> int | None:
 
 
 def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """sig, short, a: part signatures of each set, combined in each batch of rows.
+    """sig, short, a: part signatures of each set, combined for the sets of about COMBINED.
 
-    A batch has one row per signature, its least set, without a; every other set of the
+    These have one row per signature, its least set, without a; every other set of the
     signature is an edge (a, short) to it, once, under a sig of its own.
     """
     ladder = Ladder(num, den)
 
     def run(batches):
         shingle = Shingler(n)
-        for batch in batches:
-            seen, signatures, shorts = set(), [], []
-            for grams in shingle(batch.column("text").to_pylist()):
-                found = part_signatures(grams, ladder)
-                short = _short(_digest(grams)) if len(found) else None
-                if len(found) and short not in seen:
-                    seen.add(short)
-                    signatures.append(found.view(np.int64))
-                    shorts.append(np.full(len(found), short, np.int64))
-            if signatures:
-                found = _combined(np.concatenate(signatures), np.concatenate(shorts))
-                del signatures, shorts
-                for i in range(0, found.num_rows, BATCH):
-                    yield found.slice(i, BATCH)
+        seen, signatures, shorts, held = set(), [], [], 0
+        for grams in (g for batch in batches for g in shingle(_texts(batch))):
+            found = part_signatures(grams, ladder)
+            short = _short(_digest(grams)) if len(found) else None
+            if len(found) and short not in seen:
+                seen.add(short)
+                signatures.append(found.view(np.int64))
+                shorts.append(np.full(len(found), short, np.int64))
+                held += len(found)
+            if held >= COMBINED:
+                yield from combined(signatures, shorts)
+                seen, signatures, shorts, held = set(), [], [], 0
+        if held:
+            yield from combined(signatures, shorts)
+
+    def combined(signatures, shorts):
+        sigs, sets = np.concatenate(signatures), np.concatenate(shorts)
+        signatures.clear()
+        shorts.clear()
+        rows = _combined(sigs, sets)
+        del sigs, sets
+        for i in range(0, rows.num_rows, BATCH):
+            yield rows.slice(i, BATCH)
 
     return docs.select("text").mapInArrow(run, "sig long, short long, a long")
 
@@ -383,11 +427,14 @@ def sets_of(texts: DataFrame, n: int) -> DataFrame:
     def run(batches):
         shingle = Shingler(n)
         for batch in batches:
-            sets = shingle(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array([s.tobytes() for s in sets], pa.binary()),
-                 pa.array([int(s[0].view(np.int64)) for s in sets], pa.int64())],
-                [*kept, "grams", "first"])
+            # a text of b bytes has b / 2 words at most, and a set 8 bytes for each
+            sizes = pc.multiply(pc.fill_null(pc.binary_length(batch.column("text")), 0), 4)
+            for part in _slices(batch, sizes.to_pylist()):
+                sets = list(shingle(_texts(part)))
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in kept], pa.array([s.tobytes() for s in sets], pa.binary()),
+                     pa.array([int(s[0].view(np.int64)) for s in sets], pa.int64())],
+                    [*kept, "grams", "first"])
 
     kinds = dict(texts.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in kept)
@@ -425,7 +472,7 @@ def in_blocks(sets: DataFrame) -> DataFrame:
 def _links_in_blocks(blocks: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) inside each (team, block) of rows rep, grams."""
     def run(batches):
-        for _, rows in _groups(batches, ["team", "block"], "rep"):
+        for _, rows in _groups(_sliced(batches), ["team", "block"], "rep"):
             if len(rows) > 1:
                 sets = [np.frombuffer(r[3], np.uint64) for r in rows]
                 found = links_of_block(sets, num, den)
@@ -488,7 +535,7 @@ def _links_across(teams: DataFrame, part: DataFrame, num: int, den: int) -> Data
         def pieces():
             """Rows in order, cut where the key or side changes and at a bounded size."""
             rows, size, held = [], 0, None
-            for batch in batches:
+            for batch in _sliced(batches):
                 for values in zip(*[c.to_pylist() for c in batch.columns]):
                     key = values[:3] + (values[6],)
                     full = values[6] == 1 and size >= 8 * BLOCK

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,53 @@ def test_signatures_are_combined_before_they_are_dealt(spark):
     assert 79 <= edges.count() == edges.select("a", "short").distinct().count()
 
 
+class Rows:
+    """Stands for a frame: mapInArrow gives what the function yields for one batch."""
+
+    dtypes, columns = [("rep", "bigint"), ("text", "string")], ["rep", "text"]
+
+    def __init__(self, texts):
+        self.batch = pa.RecordBatch.from_pydict({"rep": list(range(len(texts))), "text": texts})
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
+def test_texts_become_sets_one_by_one(monkeypatch):
+    monkeypatch.setattr(nj, "KNOWN", 10, raising=False)
+    read = []
+    shingle = nj.Shingler(2)
+    sets = shingle(read.append(i) or f"word{i} and word{i + 1} or more{i}" for i in range(40))
+    first = next(iter(sets))
+    assert read == [0] and len(first) == 4
+    rest = list(sets)
+    assert len(rest) == 39 and len(shingle.known) <= 10
+    assert all(len(np.intersect1d(first, s)) == 0 for s in rest)
+
+
+def test_sets_are_sent_in_slices_of_bounded_size(monkeypatch):
+    texts = [" ".join(f"w{i}_{j}" for j in range(30)) for i in range(50)] + ["long " * 3000, "a b c"]
+    whole = pa.Table.from_batches(nj.sets_of(Rows(texts), 3)).to_pydict()
+    monkeypatch.setattr(nj, "HELD", 10_000, raising=False)
+    parts = nj.sets_of(Rows(texts), 3)
+    assert len(parts) > 3 and pa.Table.from_batches(parts).to_pydict() == whole
+    assert all(p.num_rows == 1 or sum(map(len, p.column("grams").to_pylist())) <= 10_000 for p in parts)
+
+
+def test_signatures_of_a_bounded_number_are_combined_at_once(monkeypatch):
+    texts = [t for _, t in near_copies()]
+    monkeypatch.setattr(nj, "COMBINED", 1000, raising=False)
+    sizes = []
+    combined = nj._combined
+    monkeypatch.setattr(nj, "_combined", lambda sigs, shorts: sizes.append(len(sigs)) or combined(sigs, shorts))
+    nj.signature_rows(Rows(texts), 5, 80, 100)
+    most = max(len(nj.part_signatures(s, nj.Ladder(80, 100))) for s in nj.Shingler(5)(texts))
+    assert len(sizes) > 1 and max(sizes) < 1000 + most
+
+
 def test_contexts_that_share_half_a_window_go_on():
     anchor = b"0123456789abcdef"
     left, right = b"l" * 42, b"r" * 42
