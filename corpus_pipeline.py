@@ -5,6 +5,8 @@ to the shared folder and reads it back as the next one's documents.  All but the
 columns of documents.
 """
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,19 @@ from pennywright.llm.shared import table, written
 TOKENIZER = "word_bpe_49k.json"
 MIX_FRACTION = (9, 10)  # of the tokens that reach the mixing stage
 MIX_EPOCHS = 1
+#: Bytes of the batches that Spark hands to Python.  Its 10,000 rows are no bound: with texts of 3 kB
+#: both sides of each task would hold 33 MB, more with longer ones.
+BATCH_BYTES = 4_000_000
+
+
+def bounded(stage):
+    """The stage, with batches of BATCH_BYTES in the session that runs it."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +36,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_documents(docs)
 
 
+@bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group: five words, similarity 0.8."""
     return ngram_join.keep_first(docs, n=5, num=80, den=100)
 
 
+@bounded
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 100 bytes or more that stand earlier."""
     return suffix_dedup.remove_repeats(docs)
@@ -36,6 +53,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.select_documents(docs, MIX_FRACTION, MIX_EPOCHS)
 
 
+@bounded
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), ids=False)

@@ -47,7 +47,7 @@ K = 16  # bytes of an anchor; a power of two
 CHUNK = 1 << 19  # window starts handled at once
 PLACES = 1 << 20  # more than the bytes of a chunk
 LONGEST = 4096  # windows of a context
-BATCH = 1_500_000  # bytes of distinct contexts per index
+BATCH = 400_000  # bytes of distinct contexts per index, which takes some 130 times that while it is made
 HOT = 20_000  # texts of an anchor
 DEEP = 4  # symbols in a first sort key
 

@@ -252,6 +252,23 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert got and got == {r.doc_id for r in kept.collect()}
 
 
+def test_stages_hand_python_batches_of_bounded_size(spark):
+    no_docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages, corpus_pipeline.packed):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, no_docs, "")
+        texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("text "), 2000).alias("text"))
+        sizes = texts.mapInArrow(_sizes, "n long").collect()
+        assert max(r.n for r in sizes) < 2 * corpus_pipeline.BATCH_BYTES
+
+
+def _sizes(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+
 def test_every_token_trains_all_of_its_features():
     width = 8
     model = lm.Model(width, {lm.END: 0, b"a": 1, b"b": 2}, np.full(lm.ENDINGS, width - 1), np.ones(width * width),

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -265,6 +266,23 @@ def test_signatures_of_a_bounded_number_are_combined_at_once(monkeypatch):
     assert len(sizes) > 1 and max(sizes) < 1000 + most
 
 
+def test_an_index_takes_little_memory():
+    rng = random.Random(8)
+    contexts, size = [], 0
+    while size < sd.BATCH:
+        contexts.append(bytes(rng.choices(b"abcdefgh ", k=150)))
+        size += 150
+    contexts[-1] = contexts[0]
+    tracemalloc.start()
+    try:
+        found = sd.repeated_windows(contexts, 100)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found[-1].all() and sum(int(f.sum()) for f in found) == 51
+    assert peak < 100e6
+
+
 def test_contexts_that_share_half_a_window_go_on():
     anchor = b"0123456789abcdef"
     left, right = b"l" * 42, b"r" * 42
