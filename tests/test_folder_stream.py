@@ -2,6 +2,7 @@
 
 import os
 
+from pennywright.operators import windows
 from pennywright.streaming import folder
 from pennywright.streaming.batches import read_batches
 
@@ -77,3 +78,48 @@ def test_a_batch_asks_its_state_once_in_few_partitions(spark, tmp_path):
     assert {s["numShufflePartitions"] for s in states} == {12}
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
     assert {i for i, _ in registry(spark, base)} == set(range(1, 7))
+
+
+def test_a_batch_is_one_job_and_leaves_the_settings_alone(spark, tmp_path):
+    base = str(tmp_path)
+    put(f"{base}/in", {"a.txt": "one"})
+    run(spark, base)
+    put(f"{base}/in", {f"{i}.txt": f"text {i % 5}" for i in range(8)})
+    before = {k: spark.conf.get(k, None) for k in {**folder.SETTINGS, **folder.LOCAL}}
+    query = run(spark, base, per_batch=2)
+    assert before == {k: spark.conf.get(k, None) for k in before}
+    batches = [p for p in query.recentProgress if p["numInputRows"]]
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId))
+    assert len(batches) == 4 and len(jobs) == 4
+    assert {i for i, _ in registry(spark, base)} == set(range(1, 7))
+
+
+def test_ids_go_on_from_notes_that_are_tables(spark, tmp_path):
+    """As left by checkpoints of before; the batch that runs again replaces its note."""
+    base = str(tmp_path)
+    put(f"{base}/in", {"a.txt": "one", "b.txt": "two"})
+    run(spark, base)
+    os.remove(f"{base}/cp-ids/batch_id=0")
+    spark.createDataFrame([(40,)], "last long").write.parquet(f"{base}/cp-ids/batch_id=0")
+    put(f"{base}/in", {"c.txt": "three"})
+    run(spark, base)
+    assert {i for i, _ in registry(spark, base)} == {1, 2, 41}
+    os.remove(f"{base}/cp/commits/1")
+    os.remove(f"{base}/cp-ids/batch_id=1")
+    spark.createDataFrame([(7,)], "last long").write.parquet(f"{base}/cp-ids/batch_id=1")
+    run(spark, base)
+    put(f"{base}/in", {"d.txt": "four"})
+    run(spark, base)
+    assert {i for i, _ in registry(spark, base)} == {1, 2, 41, 42}
+
+
+def test_large_batches_are_numbered_in_blocks(spark, tmp_path, monkeypatch):
+    base = str(tmp_path)
+    put(f"{base}/in", {f"{i:02d}.txt": f"text {i % 9}" for i in range(12)})
+    monkeypatch.setattr(folder, "BLOCK", 2)
+    monkeypatch.setattr(windows, "BLOCK", 2)
+    run(spark, base, per_batch=6)
+    assert sorted(i for i, _ in registry(spark, base)) == list(range(1, 10))
+    put(f"{base}/in", {"new.txt": "new"})
+    run(spark, base, per_batch=6)
+    assert {i for i, n in registry(spark, base) if n == "new.txt"} == {10}

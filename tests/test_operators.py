@@ -167,6 +167,12 @@ def test_dense_ids_have_no_gaps(spark):
     assert [r.id for r in rows] == list(range(41, 541))
 
 
+def test_dense_ids_of_a_known_few_rows_are_the_same(spark):
+    df = spark.range(50).select(F.sha2(F.col("id").cast("string"), 256).alias("file_hash"))
+    few = {(r.file_hash, r.id) for r in windows.dense_ids(df, "file_hash", 40, most=50).collect()}
+    assert few == {(r.file_hash, r.id) for r in windows.dense_ids(df, "file_hash", 40).collect()}
+
+
 def test_latest_rows_both_ways(spark):
     random.seed(1)
     rows = [(random.choice("ab"), random.randint(1, 5), i) for i in range(50)]
